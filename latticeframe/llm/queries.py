@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_records
+from . import exact_dedup, jaccard_join, packing, token_records
 from .shared import new_dir
 
 
@@ -27,11 +27,15 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), max_len=4096, end_id=1)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, num=3, den=4)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_pattern_packing, op4_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_records, op2_pattern_packing, op3_jaccard_join, op4_exact_dedup)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """

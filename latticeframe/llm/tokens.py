@@ -9,46 +9,93 @@ import numpy as np
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
+#: Pre-tokenizers cut between a run of letters, a run of these marks and a line feed. Letters are taken up to LAST_LETTER only.
+MARKS, LAST_LETTER = ".,;:!?*#$%&|", "ɏ"
+
+
+def stem(word: str) -> str:
+    """The word without marks at its end, if that is letters only; else empty."""
+    w = word.rstrip(MARKS)
+    return w if w.isalpha() and (w.isascii() or max(w) <= LAST_LETTER) else ""
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to Tokenizer.encode(text).
 
     Both pre-tokenizers begin a new word at a single space between other characters, so the ids of a text are those of
     its pieces " word", one after the other. Texts with runs of spaces or a space at the end are encoded in one go.
-    Pieces seen before come from a dictionary of bounded size.
+    Pieces seen lately come from a dictionary of bounded size (two generations, the older one is dropped); a new piece
+    is put together from known words and punctuation where it is of that simple form, and else encoded itself.
     """
 
-    def __init__(self, path: str, max_cached_chars: int = 12_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.max_cached_chars = max_cached_chars
-        self.known: dict[str, bytes] = {}
-        self.cached_chars = 0
+        self.most = most
+        self.known: dict[str, bytes] = {}  # ids of " " + key
+        self.older: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {"": b""}  # ids of key itself: marks, and words that begin a line
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> None:
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.known.update(zip(part, self._ids([" " + p for p in part]), strict=True))
-        self.cached_chars += sum(map(len, missing)) + 40 * len(missing)
+    def _add(self, into: dict, keys: set[str], lead: str) -> None:
+        keys = list(keys)
+        for at in range(0, len(keys), 4096):
+            some = keys[at : at + 4096]
+            into.update(zip(some, self._ids([lead + p for p in some] if lead else some), strict=True))
+
+    def _learn(self, missing: set[str]) -> None:
+        known, older, inner = self.known, self.older, self.inner
+        joined, whole, lines = [], set(), set()
+        for p in missing:
+            if (ids := older.get(p)) is not None:
+                known[p] = ids
+                continue
+            first, _, second = p.partition("\n")
+            w = stem(first)
+            if not w or p == w:
+                whole.add(p)
+                continue
+            rest = [first[len(w) :]]
+            if second or len(first) < len(p):
+                v = stem(second)
+                if not v:
+                    whole.add(p)
+                    continue
+                rest += ["\n", v, second[len(v) :]]
+            if w not in known:
+                if (ids := older.get(w)) is not None:
+                    known[w] = ids
+                else:
+                    whole.add(w)
+            for x in rest:
+                if x not in inner:
+                    lines.add(x)
+            joined.append((p, w, rest))
+        self._add(known, whole, " ")
+        self._add(inner, lines, "")
+        for p, w, rest in joined:
+            known[p] = known[w] + inner[rest[0]] if len(rest) == 1 else known[w] + b"".join([inner[x] for x in rest])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cached_chars > self.max_cached_chars:
-            self.known.clear()
-            self.cached_chars = 0
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        if len(self.inner) > self.most:
+            self.inner = {"": b""}
         plain = [not ("  " in t or t.endswith(" ")) for t in texts]
         split = [t.split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
         missing: set[str] = set()
         for pieces in split:
             missing.update(pieces[1:])
-        self._learn(list(missing - self.known.keys()))
+        known = self.known
+        self._learn({p for p in missing if p not in known})
         heads = self._ids([pieces[0] if ok else t for t, pieces, ok in zip(texts, split, plain, strict=True)])
-        get = self.known.__getitem__
+        get = known.__getitem__
         return [head + b"".join(map(get, pieces[1:])) if ok else head for head, pieces, ok in zip(heads, split, plain, strict=True)]
 
 
