@@ -28,7 +28,7 @@ class PieceEncoder:
     is put together from known words and punctuation where it is of that simple form, and else encoded itself.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 300000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,6 +36,12 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.most = most
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        size = max(names.values()) + 1
+        flags = lambda test: np.isin(np.arange(size + 1024), [i for x, i in names.items() if test(x)])
+        self.ends = flags(lambda x: x.endswith("</w>")) if "a</w>" in names else None
+        self.begins = flags(lambda x: x.startswith("Ġ")) if self.ends is None and "Ġ" in names else None
+        self.line = names.get("Ċ", -1)
         self.known: dict[str, bytes] = {}  # ids of " " + key
         self.older: dict[str, bytes] = {}
         self.inner: dict[str, bytes] = {"": b""}  # ids of key itself: marks, and words that begin a line
@@ -49,38 +55,71 @@ class PieceEncoder:
             some = keys[at : at + 4096]
             into.update(zip(some, self._ids([lead + p for p in some] if lead else some), strict=True))
 
+    def _add_words(self, into: dict, words: set[str], lead: str) -> None:
+        """Letters only: encode many as one text and cut the ids where the vocabulary marks the ends of words."""
+        words = list(words)
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([lead + lead.join(some) if lead == " " else "\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            if self.ends is not None:
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                begins = np.concatenate(([0], stops[:-1]))
+            elif lead == " ":
+                begins = np.flatnonzero(self.begins[ids])
+                stops = np.concatenate((begins[1:], [len(ids)]))
+            else:
+                cuts = np.flatnonzero(ids == self.line)
+                begins, stops = np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)]))
+            if len(begins) != len(some):
+                self._add(into, set(some), lead.strip("\n"))
+                continue
+            data = ids.tobytes()
+            into.update(zip(some, [data[x:y] for x, y in zip((begins * 4).tolist(), (stops * 4).tolist(), strict=True)], strict=True))
+
     def _learn(self, missing: set[str]) -> None:
         known, older, inner = self.known, self.older, self.inner
-        joined, whole, lines = [], set(), set()
+        joined, whole, words, marks, lines = [], set(), set(), set(), set()
         for p in missing:
             if (ids := older.get(p)) is not None:
                 known[p] = ids
                 continue
-            first, _, second = p.partition("\n")
+            first, line, second = p.partition("\n")
             w = stem(first)
-            if not w or p == w:
+            if not w:
                 whole.add(p)
                 continue
-            rest = [first[len(w) :]]
-            if second or len(first) < len(p):
+            if p == w:
+                words.add(p)
+                continue
+            end = first[len(w) :]
+            if line:
                 v = stem(second)
                 if not v:
                     whole.add(p)
                     continue
-                rest += ["\n", v, second[len(v) :]]
+                if v not in inner:
+                    lines.add(v)
+                more = second[len(v) :]
+                marks.update((end, "\n", more))
+                joined.append((p, w, end, v, more))
+            else:
+                marks.add(end)
+                joined.append((p, w, end, None, None))
             if w not in known:
                 if (ids := older.get(w)) is not None:
                     known[w] = ids
                 else:
-                    whole.add(w)
-            for x in rest:
-                if x not in inner:
-                    lines.add(x)
-            joined.append((p, w, rest))
+                    words.add(w)
         self._add(known, whole, " ")
-        self._add(inner, lines, "")
-        for p, w, rest in joined:
-            known[p] = known[w] + inner[rest[0]] if len(rest) == 1 else known[w] + b"".join([inner[x] for x in rest])
+        self._add(inner, {x for x in marks if x not in inner}, "")
+        if self.begins is None and self.ends is None:
+            self._add(known, words, " ")
+            self._add(inner, lines, "")
+        else:
+            self._add_words(known, words, " ")
+            self._add_words(inner, lines, "\n")
+        for p, w, end, v, more in joined:
+            known[p] = known[w] + inner[end] if v is None else known[w] + inner[end] + inner["\n"] + inner[v] + inner[more]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
@@ -106,7 +145,7 @@ def encoder(path: str) -> PieceEncoder:
     return _LOADED[path]
 
 
-def chunks(texts: list, most: int = 128, chars: int = 1_000_000):
+def chunks(texts: list, most: int = 300000, chars: int = 1_000_000):
     """Slices of bounded length and size."""
     begin = size = 0
     for i, t in enumerate(texts):
