@@ -48,9 +48,9 @@ def unpack48(data) -> np.ndarray:
     return out.view(U64).ravel()
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """Signature of 64 to 4096 bits, about twice the size of the set."""
-    bits = min(4096, max(64, 1 << (2 * len(h) - 1).bit_length()))
+def bitmap(h: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Signature; by default of 64 to 4096 bits, about twice the size of the set."""
+    bits = bits or min(4096, max(64, 1 << (2 * len(h) - 1).bit_length()))
     flags = np.zeros(bits, np.uint8)
     flags[(h & U64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(U64)
@@ -262,25 +262,19 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
             raw = column(batch, "elements")
             a_out, b_out = [], []
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                forest, first, held = Forest(hi - lo), {}, {}
-                for i in range(hi - lo):
-                    forest.join(i, first.setdefault(comp[lo + i], i))
-                size = n[lo:hi]
-                roots = len({forest.root(i) for i in range(hi - lo)})
-                array = lambda i: held[i] if i in held else held.setdefault(i, unpack48(raw[lo + i].as_py()))  # noqa: E731, B023
-                for step in range(1, hi - lo):  # near in size first, which connects copies soonest
-                    if roots == 1:
-                        break
-                    reach = np.flatnonzero(size[step:] * num <= size[:-step] * den)
-                    if not len(reach):
-                        break
-                    for i in reach.tolist():
-                        j = i + step
-                        if forest.root(i) == forest.root(j):
-                            continue
-                        if overlap(array(i), array(j)) >= need(int(size[i]), int(size[j]), num, den):
-                            forest.join(i, j)
-                            roots -= 1
+                size, sets = n[lo:hi], [unpack48(raw[i].as_py()) for i in range(lo, hi)]
+                linked = comp[lo:hi].copy()  # the component of each set, as known so far
+                width = min(8192, max(64, 1 << (2 * int(size[-1]) - 1).bit_length()))
+                bits = np.stack([bitmap(x, width) for x in sets]) if hi - lo > 2 else None
+                for i in range(hi - lo - 1):
+                    last = int(np.searchsorted(size, size[i] * den // num, "right"))
+                    js = np.flatnonzero(linked[i + 1 : last] != linked[i]) + i + 1
+                    if bits is not None and len(js):
+                        differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1).astype(np.int64)
+                        js = js[(size[i] + size[js] - differ) // 2 >= need(size[i], size[js], num, den)]
+                    for j in js.tolist():
+                        if linked[i] != linked[j] and overlap(sets[i], sets[j]) >= need(int(size[i]), int(size[j]), num, den):
+                            linked[linked == linked[j]] = linked[i]
                             a_out.append(sid[lo + i])
                             b_out.append(sid[lo + j])
             if a_out:
