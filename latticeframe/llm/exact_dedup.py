@@ -15,6 +15,12 @@ from .shared import stored
 DIGEST = "__digest"
 
 
+def frequent(table: DataFrame, col: str, heavy: int = 64, counters: int = 4096, min_copies: int = 50) -> list[bytes]:
+    """At most `heavy` values of a binary column that a frequent-items sketch takes for frequent."""
+    top = table.select(F.expr(f"approx_top_k(hex({col}), {heavy}, {counters})").alias("top")).select(F.explode("top").alias("top"))
+    return [bytes(r[0]) for r in top.where(F.col("top.count") >= min_copies).select(F.unhex("top.item")).limit(heavy).collect()]
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None, heavy: int = 64, counters: int = 4096, min_copies: int = 50) -> DataFrame:
     """One row per input row: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256.
 
@@ -25,8 +31,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
     """
     text = F.col("text") if text is None else text
     table = stored(docs.select(F.col(id_col).alias("__id"), F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).alias(DIGEST)), "digests")
-    frequent = table.select(F.expr(f"approx_top_k(hex({DIGEST}), {heavy}, {counters})").alias("top")).select(F.explode("top").alias("top")).select(F.unhex("top.item").alias(DIGEST), F.col("top.count").alias("__seen")).where(F.col("__seen") >= min_copies).limit(heavy)
-    found = [bytes(r[0]) for r in frequent.select(DIGEST).collect()]  # at most `heavy` digests
+    found = frequent(table, DIGEST, heavy, counters, min_copies)
     group = [F.max("__id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     if found:
         names = [F.lit(x) for x in found]
