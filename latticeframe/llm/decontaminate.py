@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import MARKS, _WORDS
+from .quality import _WORDS
 from .shared import prepare
 from .tokens import chunks
 from .words import mix
@@ -40,8 +40,9 @@ def tolerance(words: int) -> int:
 
 def normal(text: str | None) -> np.ndarray:
     """Hashes of the words; tokens of marks only are left out."""
-    words = [w for w in (text or "").encode().split() if w.strip(MARKS)]
-    return np.fromiter(map(_WORDS.__getitem__, words), U64, len(words)) >> U64(3)
+    words = (text or "").encode().split()
+    h = np.fromiter(map(_WORDS.__getitem__, words), U64, len(words)) >> U64(3)
+    return h[h != U64(_WORDS[b""] >> 3)]
 
 
 def embed(seqs: np.ndarray, walk: int) -> np.ndarray:
@@ -145,8 +146,10 @@ class Matcher:
         owner = np.repeat(np.arange(len(texts)), sizes)
         regions = self._regions(words)
         count = np.concatenate(([0], np.cumsum(self.sketch[(words & U64(SKETCH - 1)).astype(np.int64)], dtype=np.int32))) if self.plain else None
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        odd = mix(np.arange(1, max(self.lengths) + 1, dtype=U64)) | U64(1)
+        most = max(self.lengths)
+        padded = np.concatenate((words, np.full(most, PAD)))
+        first = ends - sizes
+        windows: list[tuple[np.ndarray, np.ndarray]] = []  # first word and length
         for length in self.lengths:
             spare = tolerance(length)
             at = regions.get(length, np.zeros(0, np.int64))
@@ -154,19 +157,29 @@ class Matcher:
                 at = np.union1d(at, np.flatnonzero(count[length:] - count[:-length] >= length - spare))
             at = at[(at >= 0) & (at + length <= len(words))]
             at = at[owner[at] == owner[at + length - 1]]
-            for a in range(0, len(at), 4096):
-                some = at[a : a + 4096]
-                seqs = words[some[:, None] + np.arange(length)]
-                _, once = np.unique(mix(seqs * odd[:length]).sum(axis=1, dtype=U64) + mix(owner[some].astype(U64)), return_index=True)
-                self._candidates(length, some[once], seqs[once], words, owner, ends, sizes, best)
-            short = np.flatnonzero((sizes < length) & (sizes >= length - spare) & (sizes > 0))
-            if len(short):
-                begin = ends[short] - sizes[short]
-                filled = np.full((len(short), length), PAD)
-                for r, (b, n) in enumerate(zip(begin, sizes[short], strict=True)):
-                    filled[r, :n] = words[b : b + n]
-                self._candidates(length, begin, filled, words, owner, ends, sizes, best)
-        return [(t, k, e, p) for (t, k), (e, p) in best.items()]
+            at = np.concatenate((at, first[(sizes < length) & (sizes >= length - spare) & (sizes > 0)]))
+            windows.append((at, np.full(len(at), length)))
+        at, length = (np.concatenate(x) for x in zip(*windows, strict=True))
+        odd = mix(np.arange(1, most + 1, dtype=U64)) | U64(1)
+        pairs: dict[tuple[int, int], list[int]] = {}
+        for a in range(0, len(at), 4096):
+            some, long = at[a : a + 4096], length[a : a + 4096]
+            seqs = padded[some[:, None] + np.arange(most)]
+            inside = np.minimum(long, ends[owner[some]] - some)  # texts shorter than the item end before the window does
+            seqs[np.arange(most) >= inside[:, None]] = PAD
+            _, once = np.unique(mix(seqs * odd).sum(axis=1, dtype=U64) + mix(owner[some].astype(U64) << U64(32) | long.astype(U64)), return_index=True)
+            self._candidates(some[once], long[once], seqs[once], owner, pairs)
+        best = []
+        for (t, k), starts in pairs.items():
+            item, n, spare = self.items[k][1], int(self.sizes[k]), int(self.spare[k])
+            lo, hi = max(min(starts) - spare, int(first[t])), min(max(starts) + n + spare, int(ends[t]))
+            text = words[lo:hi]
+            if int(np.isin(text, item).sum()) < n - spare:
+                continue
+            edits, end = edit_distance(item, text)
+            if edits <= spare:
+                best.append((t, k, edits, max(0, lo + end - n - int(first[t]))))
+        return best
 
     def _regions(self, words: np.ndarray) -> dict[int, np.ndarray]:
         """By length, the first words of all windows that may hold enough rare words of an item of that length."""
@@ -194,25 +207,20 @@ class Matcher:
             out.setdefault(int(self.sizes[k]), []).append(np.arange(q - n + 1, p + 1 + int(self.spare[k])))
         return {n: np.unique(np.concatenate(x)) for n, x in out.items()}
 
-    def _candidates(self, length, at, seqs, words, owner, ends, sizes, best) -> None:
-        spare = tolerance(length)
-        samples, index = self.tables[length]
+    def _candidates(self, at, long, seqs, owner, pairs) -> None:
+        """Windows and items that agree in a sample, as starts by (text, item)."""
         places = [embed(seqs, w) for w in range(WALKS)]
-        seen: set[tuple[int, int]] = set()
-        for (walk, sample), (keys, own) in zip(samples, index, strict=True):
-            mine = keys_of(places[walk], sample)
-            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-            for r in np.flatnonzero(hi > lo).tolist():
-                seen.update((r, int(k)) for k in own[lo[r] : hi[r]])
-        for r, k in sorted(seen, key=lambda x: (x[1], x[0])):
-            t = int(owner[at[r]])
-            if (t, k) in best and best[t, k][0] == 0:
-                continue
-            begin = max(int(at[r]) - spare, int(ends[t] - sizes[t]))
-            edits, end = edit_distance(self.items[k][1], words[begin : min(int(at[r]) + length + spare, int(ends[t]))])
-            if edits <= spare:
-                first = max(0, begin + end - length) - int(ends[t] - sizes[t])
-                best[t, k] = min(best.get((t, k), (edits, first)), (edits, max(0, first)))
+        for length in np.unique(long).tolist():
+            rows = np.flatnonzero(long == length)
+            samples, index = self.tables[length]
+            seen: set[tuple[int, int]] = set()
+            for (walk, sample), (keys, own) in zip(samples, index, strict=True):
+                mine = keys_of(places[walk][rows], sample)
+                lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+                for r in np.flatnonzero(hi > lo).tolist():
+                    seen.update((int(rows[r]), int(k)) for k in own[lo[r] : hi[r]])
+            for r, k in seen:
+                pairs.setdefault((int(owner[at[r]]), k), []).append(int(at[r]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", recall: float = 0.98, most_items: int = 20_000) -> DataFrame:
@@ -236,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             m = matcher.value
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for lo, hi in chunks(texts):
+                for lo, hi in chunks(texts, 512, 3_000_000):
                     rows = [(ids[lo + t], m.items[k][0], e, len(m.items[k][1]), p) for t, k, e, p in m.search(texts[lo:hi])]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

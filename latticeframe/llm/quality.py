@@ -28,6 +28,7 @@ BUCKETS = 1 << 16
 SHAPES = 16
 SIZE = BUCKETS + SHAPES * SHAPES
 UNIT = 100
+SMOOTH = 0.1
 MARKS = b".,;:!?\"'()[]{}*#$%&|-_/\\<>=+~^@"
 
 
@@ -37,11 +38,11 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         core = word.strip(MARKS)
         letters = core.decode("utf-8", "replace")
-        shape = (len(letters) > 1 and letters.isupper()) | (word.rstrip(b".,;:!?\"')") != core and word.rstrip(b".,").lstrip(b"(\"'") != core) << 1 | any(c.isdigit() for c in letters) << 2
+        shape = (len(letters) > 1 and letters.isupper()) | (word.rstrip(b".,;:!?\"')") != core and word.rstrip(b".,").lstrip(b"(\"'") != core) << 1 | (not letters.isalpha() and any(c.isdigit() for c in letters)) << 2
         value = xxhash.xxh3_64_intdigest(letters.lower().encode()) & ~7 | shape
         if len(word) <= 48:
             self[word] = value
@@ -94,10 +95,12 @@ def _model_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log ratio of the smoothed target and raw models, bucket by bucket; zeros if there is no target text."""
+    """Log ratio of the target and raw models, bucket by bucket; zeros if there is no target text. The target model is
+    smoothed towards the raw one, so an n-gram that the target sample happens to lack costs a bounded amount."""
     if not target.any():
         return np.zeros(SIZE)
-    return np.log((target + 1) / (target + 1).sum()) - np.log((raw + 1) / (raw + 1).sum())
+    p_raw = (raw + 1) / (raw + 1).sum()
+    return np.log((target / target.sum() + SMOOTH * p_raw) / (1 + SMOOTH) / p_raw)
 
 
 def best_level(weights: np.ndarray, clean: np.ndarray) -> float:
@@ -140,17 +143,18 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: id, log_weight, sample_key (log weight plus Gumbel noise), selected.
 
     labels: id, quality (1 is good), toxic (1 is toxic); clean means quality 1 and toxic 0. At most most_labels labelled
-    rows are used (those with the smallest hash of the id): the clean ones are the target, all set the level. The raw
+    rows are used (those with the smallest hash of the id): clean ones of one half are the target, the other half sets
+    the level. The raw
     model counts every document, and every document is scored. A null or empty text has weight 0. Without labels of
     both kinds everything is selected. Repeated rows share key and decision. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     known = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("clean")).where("id is not null and clean is not null")
-    known = known.groupBy("id").agg(F.min("clean").alias("clean")).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_labels)
+    known = known.groupBy("id").agg(F.min("clean").alias("clean")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(2))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_labels)
     known = stored(known, "labelled")  # at most most_labels rows
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = plain.join(F.broadcast(known), "id", "left").select("text", F.coalesce("clean", F.lit(False)).alias("target"))
+    marked = plain.join(F.broadcast(known), "id", "left").select("text", F.coalesce(F.col("clean") & (F.col("half") == 0), F.lit(False)).alias("target"))
     ratios = log_ratios(*_model_counts(marked))
 
     def score(batches):
@@ -161,7 +165,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
     table = stored(plain.mapInArrow(score, "id long, weight double").withColumn("key", F.col("weight") - F.log(-F.log(uniform))), "scores")
-    judged = table.join(F.broadcast(known), "id").select("weight", "clean").collect() if known.limit(1).count() else []  # the labelled sample
+    judged = table.join(F.broadcast(known.where("half = 1")), "id").select("weight", "clean").collect() if known.limit(1).count() else []  # the labelled sample
     level = best_level(np.array([r[0] for r in judged]), np.array([r[1] for r in judged], bool))
     k = table.where(F.col("weight") >= F.lit(level)).count()
     chosen = F.lit(False)

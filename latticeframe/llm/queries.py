@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, packing, token_records
+from . import chat_roles, decontaminate, exact_dedup, jaccard_join, packing, quality, sharding, surrogates, token_records, warc_zip
 from .shared import new_dir
 
 
@@ -35,7 +35,37 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_records, op2_pattern_packing, op3_jaccard_join, op4_exact_dedup)}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = warc_zip.write_packages(table(spark, sf_dir, "pages"), new_dir(spark, "warc"), min_bytes=0)
+    return warc_zip.read_packages(spark, paths)
+
+
+def op6_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_roles.repair(table(spark, sf_dir, "conversations"))
+
+
+SHARD_BYTES = 64 << 20
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key="latticeframe")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_records, op2_pattern_packing, op3_jaccard_join, op4_exact_dedup, op5_warc, op6_chat_roles, op7_sharding, op8_quality, op9_decontamination, op10_surrogates,
+)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
@@ -44,4 +74,16 @@ SELECT doc_id, MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS keep_id,
        doc_id IS NOT DISTINCT FROM MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS kept,
        sha256(COALESCE(text, '')) AS text_sha256
 FROM documents""",
+    "op7_sharding": f"""
+WITH hashed AS (
+    SELECT doc_id, lpad(bin(CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS BIGINT)), 60, '0') AS bits,
+           CAST(COALESCE(strlen(text), 0) AS BIGINT) AS bytes
+    FROM documents),
+nodes AS (
+    SELECT d AS depth, substr(bits, 1, d) AS shard, CAST(SUM(bytes) AS BIGINT) AS shard_bytes, COUNT(*) AS shard_rows
+    FROM hashed, (SELECT CAST(range AS INTEGER) AS d FROM range(0, 61)) GROUP BY 1, 2),
+fits AS (
+    SELECT h.doc_id, n.*, ROW_NUMBER() OVER (PARTITION BY h.doc_id ORDER BY n.depth) AS rank
+    FROM hashed h JOIN nodes n ON n.shard = substr(h.bits, 1, n.depth) WHERE n.shard_bytes <= {SHARD_BYTES})
+SELECT doc_id, shard, depth, shard_bytes, shard_rows, shard_bytes > {SHARD_BYTES} AS oversized FROM fits WHERE rank = 1""",
 }

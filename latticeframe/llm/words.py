@@ -25,7 +25,7 @@ class WordHashes(dict):
     """64-bit hashes by word; remembers a bounded number of short words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 200_000:
             self.clear()
         value = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 48:
