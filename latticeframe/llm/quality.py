@@ -143,15 +143,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: id, log_weight, sample_key (log weight plus Gumbel noise), selected.
 
     labels: id, quality (1 is good), toxic (1 is toxic); clean means quality 1 and toxic 0. At most most_labels labelled
-    rows are used (those with the smallest hash of the id): clean ones of one half are the target, the other half sets
-    the level. The raw
+    rows are used (those with the smallest hash of the id): clean ones of one half are the target; the level parts
+    clean from quality 0 in the other half. The raw
     model counts every document, and every document is scored. A null or empty text has weight 0. Without labels of
     both kinds everything is selected. Repeated rows share key and decision. An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
-    known = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("clean")).where("id is not null and clean is not null")
-    known = known.groupBy("id").agg(F.min("clean").alias("clean")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(2))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_labels)
+    known = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("clean"), (F.col("quality") == 1).alias("good")).where("id is not null and clean is not null")
+    known = known.groupBy("id").agg(F.min("clean").alias("clean"), F.min("good").alias("good")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(2))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_labels)
     known = stored(known, "labelled")  # at most most_labels rows
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = plain.join(F.broadcast(known), "id", "left").select("text", F.coalesce(F.col("clean") & (F.col("half") == 0), F.lit(False)).alias("target"))
@@ -165,7 +165,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
     table = stored(plain.mapInArrow(score, "id long, weight double").withColumn("key", F.col("weight") - F.log(-F.log(uniform))), "scores")
-    judged = table.join(F.broadcast(known.where("half = 1")), "id").select("weight", "clean").collect() if known.limit(1).count() else []  # the labelled sample
+    judged = table.join(F.broadcast(known.where("half = 1 and (clean or not good)")), "id").select("weight", "clean").collect() if known.limit(1).count() else []  # the labelled sample
     level = best_level(np.array([r[0] for r in judged]), np.array([r[1] for r in judged], bool))
     k = table.where(F.col("weight") >= F.lit(level)).count()
     chosen = F.lit(False)
