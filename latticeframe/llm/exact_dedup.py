@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, without
 
 DIGEST = "__digest"
 
@@ -47,6 +47,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids are expected to be unique and not null."""
-    gone = exact_dedup(docs, id_col, text).where(~F.col("kept")).select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    """The rows of docs that stay, with all their columns; ids are expected to be unique, rows with a null id stay."""
+    return without(docs, exact_dedup(docs, id_col, text).where(~F.col("kept")), id_col)

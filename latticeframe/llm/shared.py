@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 REPO = str(Path(__file__).resolve().parents[2])
 DIR_KEY = "spark.checkpoint.dir"
@@ -72,3 +73,9 @@ def publish(uri: str, write) -> int:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 500_000) -> DataFrame:
+    """docs less the rows whose id is in gone (one column, stored first); gone is broadcast only if it has at most `most` ids. Rows with a null id stay."""
+    gone = stored(gone.select(id_col).distinct(), "gone")
+    return docs.join(broadcast(gone) if gone.count() <= most else gone, id_col, "left_anti").select(docs.columns)
