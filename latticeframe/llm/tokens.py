@@ -28,7 +28,7 @@ class PieceEncoder:
     is put together from known words and punctuation where it is of that simple form, and else encoded itself.
     """
 
-    def __init__(self, path: str, most: int = 300000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,40 +76,44 @@ class PieceEncoder:
             data = ids.tobytes()
             into.update(zip(some, [data[x:y] for x, y in zip((begins * 4).tolist(), (stops * 4).tolist(), strict=True)], strict=True))
 
-    def _learn(self, missing: set[str]) -> None:
-        known, older, inner = self.known, self.older, self.inner
+    def _learn(self, missing: list[str]) -> None:
+        known, inner = self.known, self.inner
+        old, have = self.older.get, known.get
         joined, whole, words, marks, lines = [], set(), set(), set(), set()
         for p in missing:
-            if (ids := older.get(p)) is not None:
+            if (ids := old(p)) is not None:
                 known[p] = ids
-                continue
-            first, line, second = p.partition("\n")
-            w = stem(first)
-            if not w:
-                whole.add(p)
-                continue
-            if p == w:
-                words.add(p)
-                continue
-            end = first[len(w) :]
-            if line:
-                v = stem(second)
-                if not v:
+            elif p.isalpha():
+                (words if p.isascii() or max(p) <= LAST_LETTER else whole).add(p)
+            elif "\n" in p:
+                first, _, second = p.partition("\n")
+                w, v = stem(first), stem(second)
+                if not (w and v):
                     whole.add(p)
                     continue
+                end, more = first[len(w) :], second[len(v) :]
                 if v not in inner:
                     lines.add(v)
-                more = second[len(v) :]
                 marks.update((end, "\n", more))
+                if w not in known:
+                    words.add(w)
                 joined.append((p, w, end, v, more))
             else:
-                marks.add(end)
-                joined.append((p, w, end, None, None))
-            if w not in known:
-                if (ids := older.get(w)) is not None:
-                    known[w] = ids
+                w = p.rstrip(MARKS)
+                if not (w.isalpha() and (w.isascii() or max(w) <= LAST_LETTER)):
+                    whole.add(p)
+                    continue
+                end = p[len(w) :]
+                ids = have(w) or old(w)
+                if ids is None or end not in inner:
+                    marks.add(end)
+                    if ids is None:
+                        words.add(w)
+                    else:
+                        known[w] = ids
+                    joined.append((p, w, end, None, None))
                 else:
-                    words.add(w)
+                    known[p] = ids + inner[end]
         self._add(known, whole, " ")
         self._add(inner, {x for x in marks if x not in inner}, "")
         if self.begins is None and self.ends is None:
@@ -132,7 +136,7 @@ class PieceEncoder:
         for pieces in split:
             missing.update(pieces[1:])
         known = self.known
-        self._learn({p for p in missing if p not in known})
+        self._learn([p for p in missing if p not in known])
         heads = self._ids([pieces[0] if ok else t for t, pieces, ok in zip(texts, split, plain, strict=True)])
         get = known.__getitem__
         return [head + b"".join(map(get, pieces[1:])) if ok else head for head, pieces, ok in zip(heads, split, plain, strict=True)]
@@ -145,7 +149,7 @@ def encoder(path: str) -> PieceEncoder:
     return _LOADED[path]
 
 
-def chunks(texts: list, most: int = 300000, chars: int = 1_000_000):
+def chunks(texts: list, most: int = 400_000, chars: int = 1_000_000):
     """Slices of bounded length and size."""
     begin = size = 0
     for i, t in enumerate(texts):
