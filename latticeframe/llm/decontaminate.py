@@ -45,23 +45,26 @@ def normal(text: str | None) -> np.ndarray:
     return h[h != U64(_WORDS[b""] >> 3)]
 
 
-def embed(seqs: np.ndarray, walk: int) -> np.ndarray:
-    """CGK: rows of L word hashes become rows of 3 L places."""
+def embed(seqs: np.ndarray) -> np.ndarray:
+    """CGK: rows of n word hashes become, for each of WALKS random walks, rows of 3 n places."""
     m, length = seqs.shape
-    padded = np.concatenate((seqs, np.full((m, 1), PAD)), axis=1)
-    at, rows, out = np.zeros(m, np.int64), np.arange(m), np.empty((m, 3 * length), U64)
+    padded = np.concatenate((seqs, np.full((m, 1), PAD)), axis=1).ravel()
+    begin = np.arange(m) * (length + 1)
+    at, out = np.zeros((WALKS, m), np.int64), np.empty((3 * length, WALKS, m), U64)
+    salts = mix(np.arange(WALKS * 3 * length, dtype=U64)).reshape(3 * length, WALKS, 1)
     for step in range(3 * length):
-        symbol = padded[rows, at]
-        out[:, step] = symbol
-        bit = mix(symbol ^ U64((walk << 32 | step) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) & U64(1)
-        at = np.minimum(at + bit.astype(np.int64), length)
+        np.take(padded, begin + at, out=out[step])
+        at += (((out[step] ^ salts[step]) * U64(0x9E3779B97F4A7C15)) >> U64(63)).astype(np.int64)
+        np.minimum(at, length, out=at)
     return out
 
 
-def keys_of(places: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    key = np.zeros(len(places), U64)
-    for p in sample:
-        key = mix(key ^ places[:, p] + U64(p))
+def sample_keys(places: np.ndarray, lengths: np.ndarray, walk: int, sample: np.ndarray) -> np.ndarray:
+    """One key per row: the places at the sampled fractions of three times its length, and the length."""
+    key, rows = mix(lengths.astype(U64)), np.arange(len(lengths))
+    for fraction in sample:
+        at = (fraction * (3 * lengths)).astype(np.int64)
+        key = mix(key ^ places[at, walk, rows] + at.astype(U64))
     return key
 
 
@@ -105,19 +108,18 @@ class Matcher:
         hit = self.agreement**PLACES
         self.samples = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
         self.samples = max(WALKS, -(-self.samples // WALKS) * WALKS)
-        self.tables: dict[int, tuple] = {}
         rng = np.random.default_rng(seed + 1)
-        for length in self.lengths:
-            own = [k for k, (_, h) in enumerate(self.items) if len(h) == length]
-            matrix = np.stack([self.items[k][1] for k in own])
-            samples = [(s % WALKS, rng.integers(0, 3 * length, PLACES)) for s in range(self.samples)]
-            places = [embed(matrix, w) for w in range(WALKS)]
-            index = []
-            for walk, sample in samples:
-                keys = keys_of(places[walk], sample)
+        self.draws = [(k % WALKS, rng.random(PLACES)) for k in range(self.samples)]
+        self.index = []
+        if self.items:
+            matrix = np.full((len(self.items), max(self.lengths)), PAD)
+            for row, (_, h) in zip(matrix, self.items, strict=True):
+                row[: len(h)] = h
+            places = embed(matrix)
+            for walk, sample in self.draws:
+                keys = sample_keys(places, self.sizes, walk, sample)
                 order = np.argsort(keys, kind="stable")
-                index.append((keys[order], np.asarray(own)[order]))
-            self.tables[length] = (samples, index)
+                self.index.append((keys[order], order))
 
     def _agreement(self, rng) -> float:
         """Share of equal places between items and copies with as many random edits as tolerated: a low quantile."""
@@ -132,7 +134,8 @@ class Matcher:
                 words[at : at + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 60))]
             words = (words + [1] * len(h))[: len(h)]
             pair = np.stack([h, np.asarray(words, U64)])
-            found.append(np.mean([(p[0] == p[1]).mean() for p in (embed(pair, w) for w in range(WALKS))]))
+            places = embed(pair)
+            found.append((places[:, :, 0] == places[:, :, 1]).mean())
         return max(0.05, float(np.quantile(found, 0.2))) if found else 1.0
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
@@ -162,7 +165,7 @@ class Matcher:
         at, length = (np.concatenate(x) for x in zip(*windows, strict=True))
         odd = mix(np.arange(1, most + 1, dtype=U64)) | U64(1)
         pairs: dict[tuple[int, int], list[int]] = {}
-        for a in range(0, len(at), 4096):
+        for a in range(0, len(at), 2048):
             some, long = at[a : a + 4096], length[a : a + 4096]
             seqs = padded[some[:, None] + np.arange(most)]
             inside = np.minimum(long, ends[owner[some]] - some)  # texts shorter than the item end before the window does
@@ -209,18 +212,16 @@ class Matcher:
 
     def _candidates(self, at, long, seqs, owner, pairs) -> None:
         """Windows and items that agree in a sample, as starts by (text, item)."""
-        places = [embed(seqs, w) for w in range(WALKS)]
-        for length in np.unique(long).tolist():
-            rows = np.flatnonzero(long == length)
-            samples, index = self.tables[length]
-            seen: set[tuple[int, int]] = set()
-            for (walk, sample), (keys, own) in zip(samples, index, strict=True):
-                mine = keys_of(places[walk][rows], sample)
-                lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-                for r in np.flatnonzero(hi > lo).tolist():
-                    seen.update((int(rows[r]), int(k)) for k in own[lo[r] : hi[r]])
-            for r, k in seen:
-                pairs.setdefault((int(owner[at[r]]), k), []).append(int(at[r]))
+        places, seen = embed(seqs), []
+        for (walk, sample), (keys, own) in zip(self.draws, self.index, strict=True):
+            mine = sample_keys(places, long, walk, sample)
+            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
+            for more in range(int((hi - lo).max(initial=0))):
+                r = np.flatnonzero(hi - lo > more)
+                seen.append(r * len(self.items) + own[lo[r] + more])
+        for code in np.unique(np.concatenate(seen)).tolist() if seen else ():
+            r, k = divmod(code, len(self.items))
+            pairs.setdefault((int(owner[at[r]]), k), []).append(int(at[r]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", recall: float = 0.98, most_items: int = 20_000) -> DataFrame:

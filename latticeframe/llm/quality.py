@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +34,22 @@ MARKS = b".,;:!?\"'()[]{}*#$%&|-_/\\<>=+~^@"
 
 
 class Words(dict):
-    """word -> hash of its normal form, with its shape in the lowest bits; of bounded size."""
+    """word -> hash of its normal form (marks at the ends stripped, lower case), with its shape in the lowest bits; of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 250_000:
-            self.clear()
         core = word.strip(MARKS)
-        letters = core.decode("utf-8", "replace")
-        shape = (len(letters) > 1 and letters.isupper()) | (word.rstrip(b".,;:!?\"')") != core and word.rstrip(b".,").lstrip(b"(\"'") != core) << 1 | (not letters.isalpha() and any(c.isdigit() for c in letters)) << 2
-        value = xxhash.xxh3_64_intdigest(letters.lower().encode()) & ~7 | shape
+        if core.isascii():
+            low, capital = core.lower(), len(core) > 1 and core.isupper()
+            digit = not core.isalpha() and any(48 <= c <= 57 for c in core)
+        else:
+            letters = core.decode("utf-8", "replace")
+            low, capital = letters.lower().encode(), len(letters) > 1 and letters.isupper()
+            digit = not letters.isalpha() and any(c.isdigit() for c in letters)
+        symbol = len(core) < len(word) and (word.rstrip(b".,;:!?\"')") != core and word.rstrip(b".,").lstrip(b"(\"'") != core)
+        value = xxhash.xxh3_64_intdigest(low) & ~7 | capital | symbol << 1 | digit << 2
         if len(word) <= 48:
+            if len(self) > 250_000:
+                self.clear()
             self[word] = value
         return value
 
