@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, numbers, whole_groups
-from .shared import prepare, stored
+from .shared import prepare, stored_by_workers
 
 #: States of the automaton: nothing yet, then the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -186,7 +186,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     names = ["conv_id", "turn", "role", "new_role", "edit", "inserted", "closing", "cost", "rendered"]
     blocks = base.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(solve, "none boolean, conv long, block long, mat binary")
-    states = stored(blocks.repartition("none", "conv").sortWithinPartitions(*keys).mapInArrow(walk, "none boolean, conv long, block long, begin int, end int, cost long, last int"), "states")
+    states = stored_by_workers(blocks.repartition("none", "conv").sortWithinPartitions(*keys), walk, "none boolean, conv long, block long, begin int, end int, cost long, last int", "states")
     joined = base.join(states, keys).repartition(*keys).sortWithinPartitions(*keys, *order)
     return joined.mapInArrow(write, f"`{conv_col}` long, turn long, role string, new_role string, edit string, inserted int, closing int, cost long, rendered string".replace("conv_id", conv_col))
 

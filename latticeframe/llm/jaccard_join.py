@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow import Forest, column, numbers, whole_groups
 from .components import components
-from .shared import drop, file_system, partitions, prepare, stored
+from .shared import drop, file_system, gathered, partitions, prepare, stored, stored_by_workers
 from .words import ascii_words, hashes, shingles
 
 U64 = np.uint64
@@ -63,7 +63,7 @@ def fold(words: np.ndarray, to: int) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n, sid (set key; null for an empty set), digest, bits, elements (null in later copies of a set within a task)."""
+    """Stored: doc_id, n, sid (set key; null for an empty set), digest, bits, elements (null in later copies of a set within a task)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("elements", pa.binary())])
 
     def sets(batches):
@@ -83,7 +83,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
                 rows.append((doc_id, len(full), int.from_bytes(digest[:8], "little", signed=True), digest, bitmap(h).tobytes() if first else None, pack48(h) if first else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(sets, "doc_id long, n long, sid long, digest binary, bits binary, elements binary")
+    return stored_by_workers(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), sets, "doc_id long, n long, sid long, digest binary, bits binary, elements binary", "shingles")
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -179,7 +179,7 @@ def prefix_lists(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def candidate_edges(lists: DataFrame, narrow: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: a spanning forest, for each list or tile, of the pairs that the bounds let pass."""
+    """Stored: a, b: a spanning forest, for each list or tile, of the pairs that the bounds let pass."""
     ratio = float(np.log(den / num)) * (1 - 1e-9)
     band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
     long = F.col("size") > LONG_LIST
@@ -216,11 +216,11 @@ def candidate_edges(lists: DataFrame, narrow: DataFrame, num: int, den: int) ->
             if a_out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return rows.repartition("sig", "band").sortWithinPartitions("sig", "band", "n", "sid").mapInArrow(tile, "a long, b long")
+    return stored_by_workers(rows.repartition("sig", "band").sortWithinPartitions("sig", "band", "n", "sid"), tile, "a long, b long", "candidates")
 
 
 def fetch(places: DataFrame) -> DataFrame:
-    """places (file, row, grp, part, sid) -> grp, part, sid, n, elements: arrays read from the stored table by position."""
+    """places (file, row, grp, part, sid) -> stored: grp, part, sid, n, elements: arrays read from the stored table by position."""
     def read(batches):
         for batch, bounds in whole_groups(batches, "file"):
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -239,7 +239,7 @@ def fetch(places: DataFrame) -> DataFrame:
                         at, done = at + chunk.num_rows, end
 
     ordered = places.select("file", "row", "grp", "part", "sid").repartition(partitions(places.sparkSession), "file").sortWithinPartitions("file", "row")
-    return ordered.mapInArrow(read, "grp long, part int, sid long, n long, elements binary")
+    return stored_by_workers(ordered, read, "grp long, part int, sid long, n long, elements binary", "arrays")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -252,7 +252,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows (grp, part, sid, n, elements, comp) -> a, b: verified links that span each group's part.
+    """rows (grp, part, sid, n, elements, comp) -> stored: a, b: verified links that span each group's part.
 
     Sets with equal comp count as linked. A pair is intersected only while its sets are not yet connected.
     """
@@ -280,22 +280,22 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
             if a_out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "n", "sid").mapInArrow(verify, "a long, b long")
+    return stored_by_workers(rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "n", "sid"), verify, "a long, b long", "links")
 
 
 def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """node, comp over set keys with at least one link to another set. sets: the stored shingle_table()."""
-    lists = stored(prefix_lists(sets, num, den), "lists")
+    lists = stored(prefix_lists(sets, num, den), "lists", 4 * sets._rows)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     held = sets.where("elements is not null").select("sid", "n", "digest", "bits", place.alias("place"))
-    narrow = stored(held.groupBy("sid").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")).select("sid", F.col("low.n").alias("n"), "bits", "place", F.assert_true(F.col("low.digest") == F.col("high"), "two sets share a 64-bit key").alias("ok")), "sets")
-    groups = components(stored(candidate_edges(lists, narrow, num, den), "candidates"))
+    narrow = stored(held.groupBy("sid").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")).select("sid", F.col("low.n").alias("n"), "bits", "place", F.assert_true(F.col("low.digest") == F.col("high"), "two sets share a 64-bit key").alias("ok")), "sets", sets._rows)
+    groups = components(candidate_edges(lists, narrow, num, den))
     sizes = groups.groupBy("comp").count()
     where = groups.join(sizes, "comp").select(F.col("node").alias("sid"), F.col("comp").alias("grp"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     where = where.join(narrow.select("sid", "place.file", "place.row"), "sid")
     part = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    arrays = stored(fetch(where.withColumn("part", part)), "arrays")
-    links = stored(exact_edges(arrays.withColumn("comp", F.col("sid")), num, den), "links")
+    arrays = fetch(where.withColumn("part", part))
+    links = exact_edges(arrays.withColumn("comp", F.col("sid")), num, den)
     large = where.where("blocks > 1").select("grp", "blocks").distinct()
     if large.limit(1).count():
         links = _between_blocks(arrays, links, stored(large, "large"), num, den)
@@ -313,13 +313,13 @@ def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num:
     rows = stored(labelled(links), "labelled")
     some = rows.join(rows.groupBy("grp", "part", "comp").agg(F.min_by("sid", F.xxhash64("sid")).alias("one")), ["grp", "part", "comp"]).where("sid = one").drop("one", "part")
     some = some.withColumn("part", F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.col("blocks") / 16).cast("int")).cast("int"))
-    links = stored(links.unionByName(exact_edges(some, num, den)), "links")
+    links = links.unionByName(exact_edges(some, num, den))
     rows = stored(labelled(links), "labelled")
     open_groups = rows.groupBy("grp").agg(F.count_distinct("comp").alias("comps"), F.max("comp").alias("main")).where("comps > 1").select("grp")
     rows = rows.join(open_groups, "grp")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tiles = rows.select("*", other).where("other <> part").withColumn("part", (F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")).cast("int")).drop("other")
-    return stored(links.unionByName(exact_edges(tiles, num, den)), "links")
+    return links.unionByName(exact_edges(tiles, num, den))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, block: int = BLOCK) -> DataFrame:
@@ -331,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     prepare(spark)
-    sets = stored(shingle_table(docs, id_col, text_col, width), "shingles")
+    sets = shingle_table(docs, id_col, text_col, width)
     found = link_sets(sets, num, den, block)
     mine = sets.select("doc_id", "n", "sid")
     keyed = mine.where("sid is not null")
@@ -339,9 +339,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = [r[0] for r in frequent.collect()]  # set keys with many copies, at most 64: settled by broadcast
     is_hot = F.col("sid").isin(hot) if hot else F.lit(False)
     lowest = lambda part: part.groupBy("sid").agg(F.min("doc_id").alias("low"))
-    label = stored(lowest(keyed).join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp")), "set-labels")
+    label = stored(lowest(keyed).join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp")), "set-labels", sets._rows)
     comp_low = label.groupBy("comp").agg(F.min("low").alias("component_id"))
-    label = stored(label.join(comp_low, "comp").select("sid", "component_id"), "set-components")
+    label = stored(label.join(comp_low, "comp").select("sid", "component_id"), "set-components", sets._rows)
     cold = mine.where(~is_hot | F.col("sid").isNull()).join(label, "sid", "left")
     out = cold if not hot else cold.unionByName(mine.where(is_hot).join(F.broadcast(label.where(is_hot)), "sid"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return gathered(out, sets._rows).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

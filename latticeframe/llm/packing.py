@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import partitions, prepare, stored
+from .shared import gathered, partitions, prepare, stored_by_workers
 from .tokens import chunks, encoder
 
 BINS = 128
@@ -29,7 +29,7 @@ BINS = 128
 def cut(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each document, append end_id and cut it into pieces of max_len tokens; a null text is an empty one.
 
-    Columns id, piece, start, length, ids_crc32 and, if with_ids, ids (little-endian u32 bytes).
+    Stored; columns id, piece, start, length, ids_crc32 and, if with_ids, ids (little-endian u32 bytes).
     """
     prepare(docs.sparkSession)
     schema = pa.schema([(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
@@ -48,7 +48,7 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     kinds = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(encode, kinds)
+    return stored_by_workers(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), encode, kinds, "pieces")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-8, most: int = 600) -> np.ndarray:
@@ -225,7 +225,7 @@ def assign(pieces: DataFrame, max_len: int = 4096, order: tuple[str, ...] = ("do
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*keep, "sequence_id", "offset"])
 
     out = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, out)
+    return gathered(ranked, sum(histogram.values())).mapInArrow(place, out)
 
 
 def pack(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1,
     No sequence is longer than max_len and offsets have no gaps. Only documents longer than max_len are cut. An empty
     table gives no rows; repeated rows are packed each for itself; other columns are not read.
     """
-    pieces = stored(cut(docs, tokenizer, max_len, end_id, id_col, text_col, with_ids), "pieces")
+    pieces = cut(docs, tokenizer, max_len, end_id, id_col, text_col, with_ids)
     return assign(pieces, max_len, (id_col, "piece", "ids_crc32"))
 
 

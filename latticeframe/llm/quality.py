@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column
-from .shared import prepare, stored
+from .shared import prepare, stored, stored_by_workers
 from .words import PLACE, mix
 
 U64 = np.uint64
@@ -169,7 +169,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight, pa.float64())], names=["id", "weight"])
 
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    table = stored(plain.mapInArrow(score, "id long, weight double").withColumn("key", F.col("weight") - F.log(-F.log(uniform))), "scores")
+    table = stored_by_workers(plain, score, "id long, weight double", "scores").withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
     judged = table.join(F.broadcast(known.where("half = 1 and (clean or not good)")), "id").select("weight", "clean").collect() if known.limit(1).count() else []  # the labelled sample
     level = best_level(np.array([r[0] for r in judged]), np.array([r[1] for r in judged], bool))
     k = table.where(F.col("weight") >= F.lit(level)).count()

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from itertools import chain
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import broadcast
 
@@ -37,15 +41,51 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it back."""
+def gathered(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """Narrow rows in tasks of about per_task rows, where a shuffle has dealt them thinner: fewer tiny files."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder and read it back. rows: a bound, for narrow tables."""
     path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else gathered(df, rows)).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def stored_by_workers(df: DataFrame, make, kinds: str, name: str) -> DataFrame:
+    """Store what make(batches) yields, as stored(df.mapInArrow(make, kinds)) would, but let the Python workers write the
+    Parquet files themselves: the rows do not pass through the JVM again. A file appears only when it is whole."""
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    files, at = file_system(path)
+    files.create_dir(at, recursive=True)
+
+    def write(batches):
+        rows = iter(make(batches))
+        first = next(rows, None)
+        if first is None:
+            return
+        count = 0
+
+        def fill(out):
+            nonlocal count
+            with pq.ParquetWriter(out, first.schema, compression="snappy") as w:
+                for batch in chain([first], rows):
+                    w.write_batch(batch)
+                    count += batch.num_rows
+
+        publish(f"{path}/part-{TaskContext.get().partitionId():07d}.parquet", fill)
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([count], pa.int64())})
+
+    total = df.mapInArrow(write, "rows long").agg({"rows": "sum"}).first()[0]
+    out = spark.read.schema(kinds).parquet(path)
+    out._stored_at, out._rows = path, total or 0
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what stored() wrote, when nothing reads it any more."""
     for df in tables:
@@ -63,7 +103,7 @@ def publish(uri: str, write) -> int:
     """Let write(stream) fill a private file, then move it into place: a retried task replaces whole files only."""
     files, path = file_system(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
-    private = f"{path}.{uuid.uuid4().hex}.part"
+    private = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}.part"  # readers pass over names with an underscore
     with files.open_output_stream(private) as out:
         write(out)
     size = files.get_file_info(private).size
