@@ -36,11 +36,11 @@ def _product(a: Tensor, b: Tensor) -> list:
 
 def pair(a: Tensor, left: str, b: Tensor, right: str, output: str) -> Tensor:
     """One step: labels shared by both are join keys, labels not in output are summed. Labels within an operand differ."""
-    own = lambda t, labels, side: t.df.select(*(F.col(f"d{i}").alias(f"{side}{c}") for i, c in enumerate(labels)), *(F.col(v).alias(f"{side}_{v}") for v in t.values))
+    own = lambda t, labels, side: t.df.select(*(F.col(f"d{i}").alias(f"{side}{ord(c)}") for i, c in enumerate(labels)), *(F.col(v).alias(f"{side}_{v}") for v in t.values))
     l, r = own(a, left, "l"), own(b, right, "r")
     shared = [c for c in left if c in right]
-    joined = l.join(r, reduce(lambda p, q: p & q, [F.col(f"l{c}") == F.col(f"r{c}") for c in shared])) if shared else l.crossJoin(r)
-    where = {c: (f"l{c}" if c in left else f"r{c}") for c in left + right}
+    joined = l.join(r, reduce(lambda p, q: p & q, [F.col(f"l{ord(c)}") == F.col(f"r{ord(c)}") for c in shared])) if shared else l.crossJoin(r)
+    where = {c: (f"l{ord(c)}" if c in left else f"r{ord(c)}") for c in left + right}
     sizes = dict(zip(left, a.shape, strict=True)) | dict(zip(right, b.shape, strict=True))
     dtype = _sum_dtype(a, b)
     meta = Meta(tuple(sizes[c] for c in output), dtype)

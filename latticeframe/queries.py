@@ -128,9 +128,9 @@ def getitem_row(spark, t):
     return t[7]
 
 
-@query("L", "SELECT (p - 10) // 3 AS d0, (50 - s) // 2 AS d1, v FROM L WHERE p BETWEEN 10 AND 99 AND (p - 10) % 3 = 0 AND s BETWEEN 2 AND 50 AND (50 - s) % 2 = 0")
+@query("L", "SELECT (p - 10) // 3 AS d0, (9 - s) // 2 AS d1, v FROM L WHERE p BETWEEN 10 AND 99 AND (p - 10) % 3 = 0 AND s BETWEEN 2 AND 9 AND (9 - s) % 2 = 0")
 def getitem_slice(spark, t):
-    return t[10:100:3, 50:1:-2]
+    return t[10:100:3, 9:1:-2]
 
 
 @query("L", "SELECT CAST(x.k AS BIGINT) AS d0, s AS d1, v FROM L JOIN (VALUES (0, 5), (1, 3), (2, 5), (3, 11)) x(k, p) ON x.p = L.p")
@@ -321,9 +321,9 @@ def reduce_max(spark, t):
     return t.max(axis=0)
 
 
-@query("LPSD", "SELECT p AS d0, CASE WHEN s < 10 THEN 0 WHEN s < 40 THEN 1 ELSE 2 END::BIGINT AS d1, SUM(v) AS v FROM D GROUP BY 1, 2")
+@query("LPSD", "SELECT p AS d0, CASE WHEN s < 3 THEN 0 WHEN s < 8 THEN 1 ELSE 2 END::BIGINT AS d1, SUM(v) AS v FROM D GROUP BY 1, 2")
 def reduceat(spark, t):
-    return np.add.reduceat(t, [0, 10, 40], axis=1)
+    return np.add.reduceat(t, [0, 3, 8], axis=1)
 
 
 @query("LPSD", "SELECT p AS d0, AVG(v) AS v FROM D WHERE p IN (SELECT p FROM L) GROUP BY 1")
