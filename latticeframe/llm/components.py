@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,19 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     number of live edges falls geometrically. Labels, pointers and edges stay distributed; each round is stored.
     """
     size = edges.count()  # bounds the rows of every table below
-    labels, live = None, stored(edges.select("a", "b").where("a <> b").distinct(), "edges", size)
+    labels, live = None, kept(edges.select("a", "b").where("a <> b").distinct(), "edges", size)
     while live.limit(1).count():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "pointers", 2 * size)
+        point = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "pointers", 2 * size)
         onward = point.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        jump = stored(point.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "jumps", 2 * size)
+        jump = kept(point.join(onward, "to", "left").select("node", F.coalesce("further", "to").alias("to")), "jumps", 2 * size)
         ends = lambda side: jump.select(F.col("node").alias(side), F.col("to").alias(f"{side}2"))
-        live = stored(live.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), "edges", size)
+        live = kept(live.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b")).where("a <> b").distinct(), "edges", size)
         if labels is None:
             labels = jump.select("node", F.col("to").alias("comp"))
         else:
             labels = labels.join(jump.select(F.col("node").alias("comp"), F.col("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        labels = stored(labels, "labels", 2 * size)
+        labels = kept(labels, "labels", 2 * size)
     if labels is None:
         labels = edges.sparkSession.createDataFrame([], "node long, comp long")
     return labels

@@ -48,4 +48,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns; ids are expected to be unique, rows with a null id stay."""
-    return without(docs, exact_dedup(docs, id_col, text).where(~F.col("kept")), id_col)
+    return without(docs, exact_dedup(docs, id_col, text).where(~F.col("kept")), id_col, native=True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow import Forest, column, numbers, whole_groups
 from .components import components
-from .shared import drop, file_system, gathered, partitions, prepare, stored, stored_by_workers
+from .shared import drop, file_system, gathered, kept, partitions, prepare, stored, stored_by_workers
 from .words import ascii_words, hashes, shingles
 
 U64 = np.uint64
@@ -285,10 +285,10 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """node, comp over set keys with at least one link to another set. sets: the stored shingle_table()."""
-    lists = stored(prefix_lists(sets, num, den), "lists", 4 * sets._rows)
+    lists = kept(prefix_lists(sets, num, den), "lists", 4 * sets._rows)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     held = sets.where("elements is not null").select("sid", "n", "digest", "bits", place.alias("place"))
-    narrow = stored(held.groupBy("sid").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")).select("sid", F.col("low.n").alias("n"), "bits", "place", F.assert_true(F.col("low.digest") == F.col("high"), "two sets share a 64-bit key").alias("ok")), "sets", sets._rows)
+    narrow = kept(held.groupBy("sid").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")).select("sid", F.when(F.col("low.digest") == F.col("high"), F.col("low.n")).otherwise(F.raise_error(F.lit("two sets share a 64-bit key"))).alias("n"), "bits", "place"), "sets", sets._rows)
     groups = components(candidate_edges(lists, narrow, num, den))
     sizes = groups.groupBy("comp").count()
     where = groups.join(sizes, "comp").select(F.col("node").alias("sid"), F.col("comp").alias("grp"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -339,9 +339,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = [r[0] for r in frequent.collect()]  # set keys with many copies, at most 64: settled by broadcast
     is_hot = F.col("sid").isin(hot) if hot else F.lit(False)
     lowest = lambda part: part.groupBy("sid").agg(F.min("doc_id").alias("low"))
-    label = stored(lowest(keyed).join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp")), "set-labels", sets._rows)
+    label = kept(lowest(keyed).join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "low", F.coalesce("comp", "sid").alias("comp")), "set-labels", sets._rows)
     comp_low = label.groupBy("comp").agg(F.min("low").alias("component_id"))
-    label = stored(label.join(comp_low, "comp").select("sid", "component_id"), "set-components", sets._rows)
+    label = kept(label.join(comp_low, "comp").select("sid", "component_id"), "set-components", sets._rows)
     cold = mine.where(~is_hot | F.col("sid").isNull()).join(label, "sid", "left")
     out = cold if not hot else cold.unionByName(mine.where(is_hot).join(F.broadcast(label.where(is_hot)), "sid"))
     return gathered(out, sets._rows).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column
-from .shared import prepare, stored, stored_by_workers
+from .shared import kept, prepare, stored_by_workers
 from .words import PLACE, mix
 
 U64 = np.uint64
@@ -157,7 +157,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     prepare(spark)
     known = labels.select(F.col(id_col).alias("id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("clean"), (F.col("quality") == 1).alias("good")).where("id is not null and clean is not null")
     known = known.groupBy("id").agg(F.min("clean").alias("clean"), F.min("good").alias("good")).withColumn("half", F.pmod(F.xxhash64("id", F.lit(seed + 2)), F.lit(2))).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_labels)
-    known = stored(known, "labelled")  # at most most_labels rows
+    known = kept(known, "labelled", most_labels)  # at most most_labels rows
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = plain.join(F.broadcast(known), "id", "left").select("text", F.coalesce(F.col("clean") & (F.col("half") == 0), F.lit(False)).alias("target"))
     ratios = log_ratios(*_model_counts(marked))

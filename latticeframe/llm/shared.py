@@ -86,6 +86,11 @@ def stored_by_workers(df: DataFrame, make, kinds: str, name: str) -> DataFrame:
     return out
 
 
+def kept(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """stored() for narrow tables of at most `rows` rows, written by the workers."""
+    return stored_by_workers(gathered(df, rows), iter, df.schema, name)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what stored() wrote, when nothing reads it any more."""
     for df in tables:
@@ -115,7 +120,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 500_000) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 500_000, native: bool = False) -> DataFrame:
     """docs less the rows whose id is in gone (one column, stored first); gone is broadcast only if it has at most `most` ids. Rows with a null id stay."""
-    gone = stored(gone.select(id_col).distinct(), "gone")
+    ids = gone.select(id_col).distinct()
+    gone = stored(ids, "gone") if native else stored_by_workers(ids, iter, ids.schema, "gone")
     return docs.join(broadcast(gone) if gone.count() <= most else gone, id_col, "left_anti").select(docs.columns)
