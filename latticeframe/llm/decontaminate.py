@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .quality import _WORDS
 from .shared import prepare
 from .tokens import chunks
@@ -242,6 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         matcher = spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.collect()], recall))
 
         def search(batches, matcher=matcher):
+            caches.only("normal words")
             m = matcher.value
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

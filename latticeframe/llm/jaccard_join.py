@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .arrow import Forest, column, numbers, whole_groups
 from .components import components
 from .shared import drop, file_system, gathered, kept, partitions, prepare, stored, stored_by_workers
@@ -67,6 +68,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("elements", pa.binary())])
 
     def sets(batches):
+        caches.only("words")
         seen: set[bytes] = set()
         for batch in batches:
             rows = []
@@ -91,6 +93,7 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     size = COUNTERS // CHUNKS
 
     def count(batches):
+        caches.only("none")
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             held = [unpack48(x) for x in column(batch, "elements").to_pylist()]

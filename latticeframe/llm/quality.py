@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import caches
 from .arrow import column
 from .shared import kept, prepare, stored_by_workers
 from .words import PLACE, mix
@@ -55,6 +56,7 @@ class Words(dict):
 
 
 _WORDS = Words()
+caches.register("normal words", _WORDS.clear)
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -76,6 +78,7 @@ def grams(text: str | None) -> np.ndarray:
 def _model_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts of all rows and of the rows marked as target; docs: text, target (boolean). Fixed size per task."""
     def count(batches):
+        caches.only("normal words")
         total = np.zeros((2, SIZE), np.int64)
         for batch in batches:
             for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -163,6 +166,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ratios = log_ratios(*_model_counts(marked))
 
     def score(batches):
+        caches.only("normal words")
         for batch in batches:
             found = [grams(t) for t in batch.column(1).to_pylist()]
             weight = [round(float(ratios[g].mean()) * UNIT, 6) if len(g) else 0.0 for g in found]

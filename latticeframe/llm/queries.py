@@ -37,7 +37,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = warc_zip.write_packages(table(spark, sf_dir, "pages"), new_dir(spark, "warc"), min_bytes=0)
-    return warc_zip.read_packages(spark, paths)
+    return warc_zip.read_packages(spark, paths).drop("package", "offset")
 
 
 def op6_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +68,35 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE_SQL = {
+    "op3_jaccard_join": """
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x : x <> '') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i : array_to_string(w[i:i + 4], ' ')))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS shingles
+    FROM words),
+elements AS (SELECT doc_id, len(shingles) AS n, UNNEST(shingles) AS shingle FROM sets),
+pairs AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, COUNT(*) AS shared
+    FROM elements a JOIN elements b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+    SELECT x, y FROM pairs WHERE 100 * shared >= 75 * (n + m - shared)
+    UNION ALL SELECT y, x FROM pairs WHERE 100 * shared >= 75 * (n + m - shared)),
+reach AS (
+    SELECT doc_id, doc_id AS other FROM sets
+    UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, MIN(other) AS component_id FROM reach GROUP BY 1) r ON r.doc_id = s.doc_id""",
+    "op5_warc": """
+WITH payloads AS (
+    SELECT page_id, COALESCE(html, '') AS payload, sha1(COALESCE(html, '')) AS hex, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first_id
+    FROM pages)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM payloads""",
     "op4_exact_dedup": """
 SELECT doc_id, MAX(doc_id) OVER (PARTITION BY COALESCE(text, '')) AS keep_id,
        COUNT(*) OVER (PARTITION BY COALESCE(text, '')) AS group_size,

@@ -6,6 +6,8 @@ import os
 
 import numpy as np
 
+from . import caches
+
 _LOADED: dict[str, "PieceEncoder"] = {}
 
 
@@ -142,8 +144,12 @@ class PieceEncoder:
         return [head + b"".join(map(get, pieces[1:])) if ok else head for head, pieces, ok in zip(heads, split, plain, strict=True)]
 
 
+caches.register("tokens", _LOADED.clear)
+
+
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each tokenizer file and worker."""
+    caches.only("tokens")
     if path not in _LOADED:
         _LOADED[path] = PieceEncoder(path)
     return _LOADED[path]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from . import caches
+
 U64 = np.uint64
 
 
@@ -37,6 +39,7 @@ class WordHashes(dict):
 
 
 _KNOWN = WordHashes()
+caches.register("words", _KNOWN.clear)
 
 
 def hashes(words: list[bytes]) -> np.ndarray:

@@ -47,7 +47,7 @@ def test_oracle(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
-    assert a.equals(b.astype(a.dtypes.to_dict()))
+    assert a.equals(b.astype({c: t for c, t in a.dtypes.items()}))
 
 
 def test_registered():
