@@ -19,6 +19,10 @@ AGGREGATES = {
 }
 
 
+#: Most stretches of a reduceat: they are sent to every task.
+MOST_SPANS = 100_000
+
+
 def _layout(a: Tensor, axis, keepdims: bool):
     axes = normal_axes(axis, a.ndim)
     keep = [i for i in range(a.ndim) if i not in axes]
@@ -202,6 +206,8 @@ def reduceat(ufunc, a: Tensor, indices, axis=0) -> Tensor:
         raise IndexError("index out of bounds")
     if ufunc.__name__ not in AGGREGATES:
         return NotImplemented
+    if len(indices) > MOST_SPANS:
+        raise ValueError(f"reduceat takes at most {MOST_SPANS} indices, which are broadcast")
     parts = []
     for k, i in enumerate(indices):
         stop = indices[k + 1] if k + 1 < len(indices) else n
