@@ -240,11 +240,21 @@ def outer(spark, t):
     return np.multiply.outer(t[:, 3], t[5])
 
 
+@query("LX", "SELECT L.p AS d0, L.s AS d1, CAST(w.t AS BIGINT) AS d2, L.v * w.v AS v FROM L, (SELECT t, SUM(v) AS v FROM X GROUP BY 1) w")
+def outer_whole(spark, t, x):
+    return np.multiply.outer(t, x.sum((0, 2)))
+
+
 @query("L", "SELECT a.p * 8 + b.p AS d0, a.s * 8 + b.s AS d1, a.v * b.v AS v FROM L a, L b WHERE a.p < 40 AND a.s < 20 AND b.p < 8 AND b.s < 8")
 def kron(spark, t):
     return np.kron(t[:40, :20], t[:8, :8])
 
 
+@query("LX", "SELECT L.p AS d0, L.s * 5 + w.t AS d1, L.v * w.v AS v FROM L, (SELECT t, SUM(v) AS v FROM X GROUP BY 1) w")
+def kron_whole(spark, t, x):
+    return np.kron(t, x.sum((0, 2)))
+
+
 @query("L", "SELECT L.p AS d0, SUM(L.v * w.v) AS v FROM L JOIN (SELECT s, SUM(v) AS v FROM L GROUP BY 1) w ON w.s = L.s GROUP BY 1")
 def matvec(spark, t):
     return t @ t.sum(0)
@@ -281,6 +291,12 @@ def einsum_chain(spark, x):
     return np.einsum("utd,ute,se,rd->rs", x, x, x[1], x[2])
 
 
+@query("X", "SELECT CAST(c.t AS BIGINT) AS d0, CAST(b.t AS BIGINT) AS d1, SUM(a.g * b.v * c.v) AS v FROM (SELECT a.d AS d, b.d AS e, SUM(a.v * b.v) AS g FROM X a JOIN X b ON a.u = b.u AND a.t = b.t GROUP BY 1, 2) a JOIN (SELECT t, d, SUM(v) AS v FROM X GROUP BY 1, 2) b ON b.d = a.e JOIN (SELECT t, d, SUM(v) AS v FROM X GROUP BY 1, 2) c ON c.d = a.d GROUP BY 1, 2")
+def einsum_chain_whole(spark, x):
+    w = x.sum(0)
+    return np.einsum("utd,ute,se,rd->rs", x, x, w, w)
+
+
 @query("X", "SELECT CAST(a.u AS BIGINT) AS d0, CAST(a.t AS BIGINT) AS d1, CAST(b.t AS BIGINT) AS d2, SUM(a.v * b.v) AS v FROM X a JOIN X b ON a.u = b.u AND a.d = b.d GROUP BY 1, 2, 3")
 def einsum_batch(spark, x):
     return np.einsum("utd,usd->uts", x, x)
