@@ -24,7 +24,7 @@ PATTERNS = {
     "card": r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
-    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|[0-9a-f]{32,128})(?!\w)|(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9+/_.=-]{6,255}",
+    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|[0-9A-Fa-f]{32,128})(?!\w)|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"']{0,1}\s{0,2}[=:]\s{0,2}[\"']{0,1})[A-Za-z0-9+/_.=-]{6,255}",
     "name": r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Sr)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
 }
 PATTERN = "|".join(PATTERNS.values())
@@ -36,6 +36,7 @@ STAYS = {
 #: Classes of characters that move among themselves (fixed values), plain and for names.
 DIGITS, SMALL, CAPITAL = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HEX = "0123456789abcdef"
+IS_HEX = "^[0-9A-Fa-f]{32,}$"
 NAME_CLASSES = (
     "aeiou", "AEIOU", "bcdfghjklmnpqrstvwxyz", "BCDFGHJKLMNPQRSTVWXYZ", "áàâäãåéèêëíìîïóòôöõúùûü", "ÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜ", "çñ", "ÇÑ",
     "аеёиоуыэюя", "АЕЁИОУЫЭЮЯ", "бвгджзйклмнпрстфхцчшщ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "ΑΕΗΙΟΥΩ", "βγδζθκλμνξπρστφχψ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
@@ -96,7 +97,7 @@ def kind_of(entity: Column) -> Column:
 
 def canonical(entity: Column, kind: Column) -> Column:
     """What makes two mentions the same entity."""
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind == "name", F.lower(F.regexp_replace(entity, STAYS["name"], ""))).when(kind == "ip", F.regexp_replace(entity, r"(?<!\d)0+(?=\d)", "")).otherwise(entity)
+    return F.when(kind == "email", F.lower(entity)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(entity, r"\D", "")).when(kind == "iban", F.regexp_replace(entity, " ", "")).when(kind == "name", F.lower(F.regexp_replace(entity, STAYS["name"], ""))).when(kind == "ip", F.regexp_replace(entity, r"(?<!\d)0+(?=\d)", "")).when((kind == "secret") & entity.rlike(IS_HEX), F.lower(entity)).otherwise(entity)
 
 
 def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
@@ -128,7 +129,9 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
 
     family = by("family", F.element_at(words, -1), NAME_CLASSES)
     name = F.concat(stays("name"), F.when(F.size(words) > 1, F.concat(given(F.element_at(words, 1)), F.lit(" "), family)).otherwise(family))
-    secret = F.when(entity.rlike("^[0-9a-f]{32,}$"), by("hex", entity, (HEX,))).otherwise(F.concat(stays("secret"), by("secret", rest("secret"))))
+    # digits become letters of the case around them; in lower case the surrogate does not depend on it
+    hexed = F.when(entity.rlike("[a-f]"), by("hex", entity, (HEX, HEX.upper()))).when(entity.rlike("[A-F]"), by("hex", entity, (HEX.upper(),))).otherwise(by("hex", entity, (HEX,)))
+    secret = F.when(entity.rlike(IS_HEX), hexed).otherwise(F.concat(stays("secret"), by("secret", rest("secret"))))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "name", name).when(kind == "secret", secret)
     for name_ in ("iban", "ssn", "phone"):
         out = out.when(kind == name_, F.concat(stays(name_), by(name_, rest(name_))))

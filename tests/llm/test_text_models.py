@@ -147,6 +147,18 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(docs, "other").where("doc_id = 1").first().text != text
 
 
+def test_secrets_of_any_case(spark):
+    """Shouted, mixed and JSON forms of a secret are replaced, and one hex token in two cases stays one entity."""
+    token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    texts = [f'token = "{token}"', f'!! TOKEN = "{token.upper()}"!!', f"see {token.upper()} there", f"see {token[:20].upper() + token[20:]} there", '{"token": "hunter2xyz"}', '{"Api_Key" : "HUNTER2XYZ"}', "PASSWORD: QWERTZ77"]
+    out = [r.text for r in surrogates.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    for text in out:
+        assert not re.search(f"{token}|hunter2xyz|qwertz77", text, re.I), text
+    found = [re.search(r"\b[0-9A-Fa-f]{40}\b", t)[0] for t in out[:4]]
+    assert len({x.lower() for x in found}) == 1 and found[0].islower() and found[1].isupper() and found[1] == found[2]
+    assert re.fullmatch(r'!! TOKEN = "[0-9A-F]{40}"!!', out[1]) and re.fullmatch(r'{"token": "[a-z]{6}\d[a-z]{3}"}', out[4]) and re.fullmatch(r'{"Api_Key" : "[A-Z]{6}\d[A-Z]{3}"}', out[5]) and re.fullmatch(r"PASSWORD: [A-Z]{6}\d\d", out[6])
+
+
 def test_surrogates_are_distinct(spark):
     rows = [(i, f"{i % 256}.{i // 256}.7.9 card {4000000000000000 + i} u{i}@example.com Mr. {'Paul' if i % 2 else 'Jan'} Sm{chr(97 + i % 26)}th") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
