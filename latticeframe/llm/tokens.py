@@ -25,17 +25,21 @@ class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to Tokenizer.encode(text).
 
     Both pre-tokenizers begin a new word at a single space between other characters, so the ids of a text are those of
-    its pieces " word", one after the other. Texts with runs of spaces or a space at the end are encoded in one go.
+    its pieces " word", one after the other. Texts with runs of spaces or a space at the end are encoded in one go, and
+    so are texts with an added token's marker, unless markers_as_text takes markers for plain text.
     Pieces seen lately come from a dictionary of bounded size (two generations, the older one is dropped); a new piece
     is put together from known words and punctuation where it is of that simple form, and else encoded itself.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, markers_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = markers_as_text
+        added = [] if markers_as_text else self.tokenizer.get_added_tokens_decoder().values()
+        # a marker that is looked for in normalised text may be anywhere: nothing is cut then
+        self.markers = [""] if any(x.normalized for x in added) else [x.content for x in added]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.most = most
         names = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -132,7 +136,7 @@ class PieceEncoder:
             self.known, self.older = {}, self.known
         if len(self.inner) > self.most:
             self.inner = {"": b""}
-        plain = [not ("  " in t or t.endswith(" ")) for t in texts]
+        plain = [not ("  " in t or t.endswith(" ") or any(m in t for m in self.markers)) for t in texts]
         split = [t.split(" ") if ok else [] for t, ok in zip(texts, plain, strict=True)]
         missing: set[str] = set()
         for pieces in split:
@@ -148,10 +152,10 @@ caches.register("tokens", _LOADED.clear)
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder for each tokenizer file and worker."""
+    """One encoder for each tokenizer file and worker; added tokens are found as the library finds them by default."""
     caches.only("tokens")
     if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path)
+        _LOADED[path] = PieceEncoder(path, markers_as_text=False)
     return _LOADED[path]
 
 

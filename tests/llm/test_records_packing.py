@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from latticeframe.llm import packing, token_records
+from latticeframe.llm import packing, token_records, tokens
 from latticeframe.llm.queries import tokenizer
 from latticeframe.llm.shared import file_system, new_dir
 from latticeframe.llm.tokens import PieceEncoder
@@ -33,6 +33,23 @@ def test_encoder_equals_the_library(path, documents):
             assert e.encode(texts[at : at + 40]) == [x.tobytes() for x in reference(path, texts[at : at + 40])]
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_markers_as_the_library_finds_them(path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)  # nothing else set
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three four", "x  <|endoftext|> ", "a <|ENDOFTEXT|> b", "<|startoftext|> a\nb <|endof text|>", "a b, c"]
+    assert tokens.encoder(path).encode(texts) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_operators_keep_markers(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    records = token_records.read_records(spark, token_records.write_records(docs, new_dir(spark, "t"), BYTES)).collect()
+    packed = packing.pack(docs, WORDS, 64).collect()
+    assert [r.ids_crc32 for r in records] == [zlib.crc32(np.asarray([64, 220, 50256, 275, 0], "<u4").tobytes())]
+    assert [r.ids_crc32 for r in packed] == [zlib.crc32(np.asarray([320, 49407, 321, 1], "<u4").tobytes())]
+
+
 ENCODERS = {p: PieceEncoder(p) for p in (BYTES, WORDS)}
 
 
