@@ -7,18 +7,20 @@ relabelling it, merging it into the turn before, and inserting an empty turn; th
 The cost of a stretch of turns is a matrix from the state before it to the state after it, and stretches combine by the
 min-plus product, which is associative. So a conversation is cut into blocks of turns; blocks are solved in parallel,
 their small matrices are combined along the conversation, and each block is traced back between the states so found.
-No task ever holds more than a block, however long a conversation is.
+Blocks go by turn number; where turns repeat or are null, a block of too many rows is cut again by the rows' order. So
+no block has more than BLOCK rows, however long a conversation is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import column, numbers, whole_groups
-from .shared import prepare, stored_by_workers
+from .shared import partitions, prepare, stored_by_workers
 
 #: States of the automaton: nothing yet, then the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -114,6 +116,37 @@ def render(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
 
+KEYS = ["none", "conv", "block", "sub"]
+ORDER = ["turn", "role", "text"]
+
+
+def cut(base: DataFrame, block: int) -> DataFrame:
+    """base (none, conv, turn, role, text) with the block and the part of it (sub) of each row: at most `block` rows to a
+    part. Parts follow in the order of turn, role and text; rows equal in these may change places."""
+    base = base.withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / block).cast("long"))
+    groups = KEYS[:-1]
+    big = base.groupBy(*groups).count().where(F.col("count") > block).select(*groups)
+    big = stored_by_workers(big, iter, big.schema, "crowded")
+    whole = base.withColumn("sub", F.lit(0).cast("long"))
+    if not big._rows:
+        return whole
+
+    def number(batches):
+        last, n, first = None, 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sub = []
+            for key in zip(*(column(batch, k).to_pylist() for k in groups), strict=True):
+                last, n = key, n + 1 if key == last else 0
+                sub.append(first + n // block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sub, pa.int64())], names=[*batch.schema.names, "sub"])
+
+    # the row number deals out rows that are equal
+    crowd = base.join(F.broadcast(big), groups).select(*base.columns, F.monotonically_increasing_id().alias("row"))
+    crowd = crowd.repartitionByRange(partitions(base.sparkSession), *groups, *ORDER, "row").sortWithinPartitions(*groups, *ORDER, "row").drop("row")
+    numbered = stored_by_workers(crowd, number, whole.schema, "numbered")
+    return whole.join(F.broadcast(big), groups, "left_anti").select(*whole.columns).unionByName(numbered)
+
+
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per input turn: conversation, turn, role, new_role, edit, inserted (empty turns before it), closing
     (empty turns after the last), cost (of the whole conversation), rendered (its part of the conversation's text).
@@ -126,9 +159,10 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     spark = turns.sparkSession
     prepare(spark)
     base = turns.select(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("none", F.col("conv").isNull()).withColumn("conv", F.coalesce("conv", F.lit(0))).withColumn("block", F.floor(F.coalesce("turn", F.lit(-(1 << 40))) / block).cast("long"))
-    order = [F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")]
-    keys = ["none", "conv", "block"]
+    base = base.withColumn("none", F.col("conv").isNull()).withColumn("conv", F.coalesce("conv", F.lit(0)))
+    base = cut(base, block)
+    order = [F.asc_nulls_first(c) for c in ORDER]
+    keys = KEYS
 
     def solve(batches):
         for batch, bounds in whole_groups(batches, *keys):
@@ -185,8 +219,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             yield pa.RecordBatch.from_arrays([conv, column(batch, "turn"), pa.array(raw, pa.string()), pa.array(new), pa.array(edits), pa.array(inserted, pa.int32()), pa.array(closing, pa.int32()), column(batch, "cost"), pa.array(parts)], names=names)
 
     names = ["conv_id", "turn", "role", "new_role", "edit", "inserted", "closing", "cost", "rendered"]
-    blocks = base.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(solve, "none boolean, conv long, block long, mat binary")
-    states = stored_by_workers(blocks.repartition("none", "conv").sortWithinPartitions(*keys), walk, "none boolean, conv long, block long, begin int, end int, cost long, last int", "states")
+    blocks = base.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(solve, "none boolean, conv long, block long, sub long, mat binary")
+    states = stored_by_workers(blocks.repartition("none", "conv").sortWithinPartitions(*keys), walk, "none boolean, conv long, block long, sub long, begin int, end int, cost long, last int", "states")
     joined = base.join(states, keys).repartition(*keys).sortWithinPartitions(*keys, *order)
     return joined.mapInArrow(write, f"`{conv_col}` long, turn long, role string, new_role string, edit string, inserted int, closing int, cost long, rendered string".replace("conv_id", conv_col))
 

@@ -163,3 +163,24 @@ def test_repair_odd(spark):
     legal(rendered(hot))
     assert hot[0].cost == least_cost([r[2] for r in rows if r[0] == 7])
     assert len([r for r in got if r.conv_id is None]) == 1 and chat_roles.repair(turns.where("false")).count() == 0
+
+
+def test_blocks_are_bounded_where_turns_repeat(spark):
+    """Rows without a conversation, a conversation without turn numbers, and equal rows: no block has too many rows."""
+    from pyspark.sql import functions as F
+
+    roles = ["user", "assistant", "tool", None]
+    rows = [(None, i % 5, roles[i % 4], f"n{i}") for i in range(900)] + [(3, None, roles[i * i % 3], f"m{i}") for i in range(500)] + [(4, 1, "user", "same")] * 300 + [(5, 0, "user", "a"), (5, 1, "assistant", "b")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    base = turns.select(F.coalesce("conv_id", F.lit(0)).alias("conv"), "turn", "role", "text", F.col("conv_id").isNull().alias("none"))
+    assert chat_roles.cut(base, 64).groupBy(*chat_roles.KEYS).count().agg({"count": "max"}).first()[0] <= 64
+    got = chat_roles.repair(turns, block=64).collect()
+    assert len(got) == len(rows)
+    for conv in (None, 3, 4, 5):
+        want = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3]))
+        mine = [r for r in got if r.conv_id == conv]
+        assert {r.cost for r in mine} == {least_cost([r[2] for r in want])}, conv
+        if conv != 4:  # texts differ: the parts are told apart
+            texts = {w[3] for w in want}
+            by = {next(t for t in r.rendered.replace("<|im_end|>", "").split("\n") if t in texts): r for r in mine}
+            legal("".join(by[w[3]].rendered for w in want))
