@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import gathered, partitions, prepare, stored_by_workers
-from .tokens import chunks, encoder
+from .tokens import encoder, slices
 
 BINS = 128
 
@@ -35,17 +35,18 @@ def cut(docs: DataFrame, tokenizer: str, max_len: int = 4096, end_id: int = 1, i
     schema = pa.schema([(id_col, pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def encode(batches):
-        enc, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                rows = []
-                for doc_id, ids in zip(doc_ids[a:b], enc.encode([t or "" for t in texts[a:b]]), strict=True):
-                    ids += end
-                    for piece, at in enumerate(range(0, len(ids), 4 * max_len)):
-                        part = ids[at : at + 4 * max_len]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part)[: len(schema)])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        enc = encoder(tokenizer)
+        for part in (s for batch in batches for s in slices(batch, 1)):
+            ids, bounds = enc.encode_array(part.column(1), end_id)
+            data = ids.astype("<u4").data.cast("B")
+            many = -(-np.diff(bounds) // max_len)
+            doc = np.repeat(np.arange(part.num_rows), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            begin = bounds[doc] + piece * max_len
+            end = np.minimum(begin + max_len, bounds[doc + 1])
+            raw = [data[4 * a : 4 * b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            columns = [part.column(0).take(pa.array(doc)), piece, piece * max_len, end - begin, list(map(zlib.crc32, raw)), list(map(bytes, raw)) if with_ids else ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) if i else c for i, (c, t) in enumerate(zip(columns, schema.types, strict=False))], schema=schema)
 
     kinds = f"`{id_col}` long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return stored_by_workers(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), encode, kinds, "pieces")

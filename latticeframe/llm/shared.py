@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
+from contextlib import ExitStack
 from itertools import chain
 from pathlib import Path
 
@@ -28,13 +30,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
-    if base := spark.sparkContext.getConf().get(DIR_KEY):
+    """The folder in spark.checkpoint.dir, or the session's checkpoint folder. Without either, one is made in local mode
+    (tests), where driver and executors are one process; on a cluster it raises, as other machines would not see it."""
+    context = spark.sparkContext
+    if base := context.getConf().get(DIR_KEY) or context.getCheckpointDir():
         return base.rstrip("/")
-    if known := spark.sparkContext.getCheckpointDir():
-        return known.rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latticeframe-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {DIR_KEY} to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="latticeframe-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -104,16 +108,22 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else uri.replace("file:", "file://", 1))
 
 
+def publish_all(uris: Sequence[str], write) -> list[int]:
+    """Let write(*streams) fill private files, then move them into place: a retried task replaces whole files only. Returns their sizes."""
+    with ExitStack() as opened:
+        files, path = file_system(uris[0])
+        folder = path.rpartition("/")[0]
+        files.create_dir(folder, recursive=True)
+        private = [f"{folder}/_{uuid.uuid4().hex}.part" for _ in uris]  # readers pass over names with an underscore
+        write(*(opened.enter_context(files.open_output_stream(p)) for p in private))
+    for p, uri in zip(private, uris, strict=True):
+        files.move(p, file_system(uri)[1])
+    return [files.get_file_info(file_system(uri)[1]).size for uri in uris]
+
+
 def publish(uri: str, write) -> int:
-    """Let write(stream) fill a private file, then move it into place: a retried task replaces whole files only."""
-    files, path = file_system(uri)
-    files.create_dir(path.rpartition("/")[0], recursive=True)
-    private = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}.part"  # readers pass over names with an underscore
-    with files.open_output_stream(private) as out:
-        write(out)
-    size = files.get_file_info(private).size
-    files.move(private, path)
-    return size
+    """publish_all() for one file."""
+    return publish_all([uri], write)[0]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import file_system, partitions, prepare, publish
-from .tokens import chunks, encoder
+from .shared import file_system, partitions, prepare, publish_all
+from .tokens import encoder, slices
 
 MASK_DELTA = 0xA282EAD8
 NO_ID = -(1 << 63)
@@ -40,7 +40,7 @@ def frame(payload: bytes) -> bytes:
 
 
 def pack_payload(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    return struct.pack(PAYLOAD, width + (128 if doc_id is None else 0), 0 if doc_id is None else doc_id) + ids.astype(f"<u{width}").tobytes()
+    return struct.pack(PAYLOAD, width + (128 if doc_id is None else 0), 0 if doc_id is None else doc_id) + ids.astype(f"<u{width}", copy=False).tobytes()
 
 
 def unpack_payload(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -88,26 +88,24 @@ def write_records(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 0
     def write(batches):
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         width = 2 if max(enc.vocab_size, end_id + 1) <= 1 << 16 else 4
-        end = np.asarray([end_id], "<u4").tobytes()
-        index: list[tuple[int, int, int]] = []
-        path = f"{out_dir}/shard-{shard:07d}"
-
-        def fill(out):
-            at = 0
-            for batch in batches:
-                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    for doc_id, ids in zip(doc_ids[a:b], enc.encode([t or "" for t in texts[a:b]]), strict=True):
-                        ids = np.frombuffer(ids + end, "<u4")
-                        record = frame(pack_payload(doc_id, ids, width))
-                        index.append((NO_ID if doc_id is None else doc_id, at, len(ids)))
-                        out.write(record)
-                        at += len(record)
-
-        size = publish(f"{path}.rec", fill)
-        table = np.asarray(index, "<i8").reshape(-1, 3)
-        publish(f"{path}.idx", lambda out: out.write(table.tobytes()))
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [len(index)], "tokens": [int(table[:, 2].sum())], "bytes": [size]})
+        path, docs, tokens, size = f"{out_dir}/shard-{shard:07d}", 0, 0, 0
+
+        def fill(out, index):
+            nonlocal docs, tokens, size
+            for part in (s for batch in batches for s in slices(batch, 1)):
+                ids, bounds = enc.encode_array(part.column(1), end_id)
+                ids, rows = ids.astype(f"<u{width}"), np.empty((part.num_rows, 3), "<i8")
+                framed = []
+                for k, (doc_id, a, b) in enumerate(zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                    framed.append(frame(pack_payload(doc_id, ids[a:b], width)))
+                    rows[k] = NO_ID if doc_id is None else doc_id, size, b - a
+                    size += len(framed[-1])
+                out.write(b"".join(framed))
+                index.write(rows.tobytes())
+                docs, tokens = docs + len(rows), tokens + len(ids)
+
+        publish_all((f"{path}.rec", f"{path}.idx"), fill)
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "docs": [docs], "tokens": [tokens], "bytes": [size]})
 
     parts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = parts.repartitionByRange(shards or partitions(spark), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))

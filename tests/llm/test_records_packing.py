@@ -6,20 +6,18 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from latticeframe.llm import packing, token_records, tokens
 from latticeframe.llm.queries import tokenizer
 from latticeframe.llm.shared import file_system, new_dir
-from latticeframe.llm.tokens import PieceEncoder
+from latticeframe.llm.tokens import TextEncoder
 
 BYTES, WORDS = tokenizer("byte_bpe_50k.json"), tokenizer("word_bpe_49k.json")
 
 
 def reference(path, texts):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path)  # nothing else set
     return [np.asarray(e.ids, "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -28,15 +26,13 @@ def test_encoder_equals_the_library(path, documents):
     texts = [r[0] for r in documents.select("text").collect()]
     texts += ["", " ", "a  b", "a ", "x\n\ny", "x \n y", "it's 'tis we'll", "日本語 テ。\nは", "<|endoftext|> a", "word.,!\nÉcole 3.5", "á b ́c", "ΣΑΣ. ß", "a\r\nb", "a b c　d", "A|B | C |\nD"]
     for most in (50, 400_000):
-        e = PieceEncoder(path, most)
+        e = TextEncoder(path, most)
         for at in range(0, len(texts), 40):
             assert e.encode(texts[at : at + 40]) == [x.tobytes() for x in reference(path, texts[at : at + 40])]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_markers_as_the_library_finds_them(path):
-    from tokenizers import Tokenizer
-
     plain = Tokenizer.from_file(path)  # nothing else set
     texts = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three four", "x  <|endoftext|> ", "a <|ENDOFTEXT|> b", "<|startoftext|> a\nb <|endof text|>", "a b, c"]
     assert tokens.encoder(path).encode(texts) == [np.asarray(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
@@ -50,14 +46,15 @@ def test_operators_keep_markers(spark):
     assert [r.ids_crc32 for r in packed] == [zlib.crc32(np.asarray([320, 49407, 321, 1], "<u4").tobytes())]
 
 
-ENCODERS = {p: PieceEncoder(p) for p in (BYTES, WORDS)}
+ENCODERS = {p: TextEncoder(p, 200) for p in (BYTES, WORDS)}
+TOKENIZERS = {p: Tokenizer.from_file(p) for p in (BYTES, WORDS)}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'!aAbBzéÉßñΣя1"), st.characters(codec="utf-8")), max_size=60))
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'!aAbBzéÉßñΣя1×\0ɏɐ"), st.characters(codec="utf-8")), max_size=60))
 def test_encoder_on_any_text(text):
     for path, e in ENCODERS.items():
-        assert e.encode([text])[0] == np.asarray(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert e.encode([text])[0] == np.asarray(TOKENIZERS[path].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_records_round_trip(spark, odd):
