@@ -69,7 +69,7 @@ INT_BINARY = {
     "floor_divide": "case when {y} = 0 then 0L when {x} % {y} <> 0 and ({x} < 0) <> ({y} < 0) then {x} div {y} - 1 else {x} div {y} end",
     "remainder": "case when {y} = 0 then 0L when {x} % {y} <> 0 and ({x} % {y} < 0) <> ({y} < 0) then {x} % {y} + {y} else {x} % {y} end",
     "fmod": "if({y} = 0, 0L, {x} % {y})", "maximum": "greatest({x}, {y})", "minimum": "least({x}, {y})", "fmax": "greatest({x}, {y})", "fmin": "least({x}, {y})",
-    "power": "if({y} < 0, bigint(raise_error('integers to negative integer powers are not allowed')), bigint(power({x}, {y})))",
+    "power": "if({y} < 0, bigint(raise_error('integers to negative integer powers are not allowed')), case when {y} = 0 or {x} = 1 then 1L when {x} = 0 then 0L when {x} = -1 then if({y} % 2 = 0, 1L, -1L) else aggregate(sequence(1, int(least({y}, 64L))), 1L, (p, i) -> p * {x}) end)",
     "equal": "({x} = {y})", "not_equal": "({x} <> {y})", "less": "({x} < {y})", "less_equal": "({x} <= {y})", "greater": "({x} > {y})", "greater_equal": "({x} >= {y})",
     "logical_and": "({x} <> 0 and {y} <> 0)", "logical_or": "({x} <> 0 or {y} <> 0)", "logical_xor": "(({x} <> 0) <> ({y} <> 0))",
     "bitwise_and": "{x} & {y}", "bitwise_or": "{x} | {y}", "bitwise_xor": "{x} ^ {y}",

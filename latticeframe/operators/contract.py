@@ -15,7 +15,7 @@ from .coords import astype, expand_dims, reshape, squeeze
 from .tensor import Tensor, as_tensor, register, session, sql_type
 
 #: Most elements of a result that pairs all cells of two tensors (no contracted index); a guard against mistakes.
-MOST_OUTER = 1 << 44
+MOST_OUTER = 1 << 38
 #: Steps of a chain after which the lineage is cut, if the session has a checkpoint folder.
 CHECKPOINT_EVERY = 10
 

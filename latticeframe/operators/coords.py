@@ -78,8 +78,9 @@ def expand_dims(a: Tensor, axis: int) -> Tensor:
 
 @register("astype")
 def astype(a: Tensor, dtype, order="K", casting="unsafe", subok=True, copy=True) -> Tensor:
-    """Integers truncate towards zero; NaN and values out of range become the least integer, as NumPy's casts do on
-    common hardware; to boolean is x <> 0; complex to real drops the imaginary part."""
+    """Reals truncate towards zero; NaN and values out of range become the least integer of the type, as NumPy's casts
+    to 32 and 64 bits do on common hardware. Integers wrap into narrower types. To boolean is x <> 0; complex to real
+    drops the imaginary part."""
     dtype = np.dtype(dtype)
     if not np.can_cast(a.dtype, dtype, casting):
         raise TypeError(f"cannot cast from {a.dtype} to {dtype} according to the rule {casting!r}")
@@ -93,8 +94,12 @@ def astype(a: Tensor, dtype, order="K", casting="unsafe", subok=True, copy=True)
     if dtype.kind == "b":
         return a.map([v if a.dtype.kind == "b" else (v != 0) | F.isnan(v.cast("double"))], dtype)
     if dtype.kind in "iu" and a.dtype.kind == "f":
-        low = int(np.iinfo(dtype).min)
-        return a.map([F.when(F.isnan(v), F.lit(low)).otherwise(F.coalesce(F.expr("try_cast(v as bigint)"), F.lit(low)))], dtype)
+        low, whole = int(np.iinfo(dtype).min), F.expr("try_cast(v as bigint)")
+        inside = ~F.isnan(v) & whole.isNotNull() & whole.between(low, min(int(np.iinfo(dtype).max), (1 << 63) - 1))
+        return a.map([F.when(inside, whole).otherwise(F.lit(low).cast("bigint"))], dtype)
+    if dtype.kind in "iu" and a.dtype.kind in "iu" and dtype.itemsize < 8 and not np.can_cast(a.dtype, dtype):
+        span, low = 1 << 8 * dtype.itemsize, int(np.iinfo(dtype).min)
+        return a.map([F.pmod(v - F.pmod(F.lit(low), F.lit(span)), F.lit(span)) + low if low else F.pmod(v, F.lit(span))], dtype)
     if dtype == np.float32:
         return a.map([v.cast("float").cast("double")], dtype)
     return a.map([v.cast(sql_type(dtype))], dtype)
@@ -220,7 +225,18 @@ def setitem(a: Tensor, key, value) -> Tensor:
     return Tensor(rest.unionByName(part.select(cols, a.shape).df), a.meta)
 
 
-@register("split", "array_split")
+@register("array_split")
+def array_split(a: Tensor, indices_or_sections, axis: int = 0) -> list[Tensor]:
+    """As split, but a count need not divide the length: the first parts are one longer."""
+    if not np.isscalar(indices_or_sections):
+        return split(a, indices_or_sections, axis)
+    if indices_or_sections <= 0:
+        raise ValueError("number sections must be larger than 0")
+    each, longer = divmod(a.shape[normal_axis(axis, a.ndim)], indices_or_sections)
+    return split(a, np.cumsum([each + 1] * longer + [each] * (indices_or_sections - longer))[:-1].tolist(), axis)
+
+
+@register("split")
 def split(a: Tensor, indices_or_sections, axis: int = 0) -> list[Tensor]:
     axis = normal_axis(axis, a.ndim)
     n = a.shape[axis]

@@ -20,6 +20,8 @@ from .tensor import Tensor, as_tensor, register, session, sql_type
 
 #: NumPy's other names for the same ufunc are resolved by __name__; these differ between versions.
 ALIASES = {"true_divide": "divide", "mod": "remainder", "abs": "absolute", "conj": "conjugate", "bitwise_not": "invert", "bitwise_invert": "invert"}
+#: Most cells of a result that pairs all cells of two tensors; a guard against mistakes.
+MOST_OUTER = 1 << 38
 TWO_SIDED_ZERO = {"multiply", "bitwise_and", "logical_and"}
 
 
@@ -150,7 +152,7 @@ def binary(ufunc: np.ufunc, a, b):
     scalars = [not isinstance(x, Tensor) and np.ndim(x) == 0 for x in (a, b)]
     if any(scalars):
         t, s = (b, a) if scalars[0] else (a, b)
-        weak = isinstance(s, bool | int | float | complex) and not isinstance(s, np.generic)
+        weak = isinstance(s, bool | int | float | complex) and not isinstance(s, np.generic) and name != "ldexp"
         st = np.result_type(s, t.dtype) if weak and not (t.dtype.kind in "iub" and isinstance(s, float | complex)) else np.asarray(s).dtype
         zero = np.zeros(1, t.dtype)[0]
         if not at_zero(ufunc, *((s, zero) if scalars[0] else (zero, s))):
@@ -187,6 +189,8 @@ def outer(ufunc: np.ufunc, a, b) -> Tensor:
     """All pairs, a's dimensions first: both sides get each other's dimensions by a cross product of stored cells."""
     spark = session(a, b)
     a, b = as_tensor(a, spark), as_tensor(b, spark)
+    if a.size * b.size > MOST_OUTER:
+        raise ValueError(f"the outer product of {a.shape} and {b.shape} is too large")
     wide = a.select([F.col(d) for d in a.dims] + [F.lit(0)] * b.ndim, (*a.shape, *(1,) * b.ndim))
     if ALIASES.get(ufunc.__name__, ufunc.__name__) in TWO_SIDED_ZERO:
         name = ufunc.__name__

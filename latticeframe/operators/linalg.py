@@ -37,7 +37,7 @@ def _local(name: str, f, square: bool = False):
         a = as_tensor(a, spark)
         if square and a.shape[-1] != a.shape[-2]:
             raise np.linalg.LinAlgError("Last 2 dimensions of the array must be square")
-        args = [x.to_numpy() if isinstance(x, Tensor) else x for x in args]
+        args = [small(x) if isinstance(x, Tensor) else x for x in args]
         out = f(small(a), *args, **kwargs)
         return tuple(_back(a, x) for x in out) if isinstance(out, tuple) else _back(a, out)
 
@@ -258,7 +258,7 @@ def lstsq(a: Tensor, b, rcond=None):
         blocks, r, _ = tsqr(a)
         if full_rank(r):
             q, r = _orthogonal(a, blocks, r)
-            qb = tensordot(np.conjugate(q), b, (0, 0)).to_numpy()
+            qb = small(tensordot(np.conjugate(q), b, (0, 0)))
             x = _back(a, np.linalg.solve(r, qb))
             gap = tensordot(a, x, 1) - b
             residual = sum_(np.square(np.absolute(gap)), 0)

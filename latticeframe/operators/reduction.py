@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,12 @@ AGGREGATES = {
 
 #: Most stretches of a reduceat: they are sent to every task.
 MOST_SPANS = 100_000
+#: Stretches up to this number are found by an expression, not by a join.
+FEW_SPANS = 256
+#: Longest line that one task reduces where no aggregate will do.
+MOST_LINE = 1 << 24
+#: Most cells of a right-hand side that at() brings to the driver.
+MOST_UPDATES = 1 << 20
 
 
 def _layout(a: Tensor, axis, keepdims: bool):
@@ -60,6 +68,8 @@ def mean(a: Tensor, axis=None, keepdims=False) -> Tensor:
 @register("var")
 def var(a: Tensor, axis=None, keepdims=False, ddof=0) -> Tensor:
     """Two passes: the mean first, then the squared deviations, with a term for cells that are not stored."""
+    if a.meta.is_complex:  # the squared distance in the plane
+        return var(a.real, axis, keepdims, ddof) + var(a.imag, axis, keepdims, ddof)
     n = math.prod(a.shape[i] for i in normal_axes(axis, a.ndim))
     a = astype(a, np.float64)
     center = mean(a, axis, keepdims=True)
@@ -81,10 +91,8 @@ def ufunc_reduce(ufunc, a: Tensor, axis=0, keepdims=False, dtype=None) -> Tensor
     name = ufunc.__name__
     if name == "add":
         return sum_(a, axis, dtype, keepdims=keepdims)
-    if name not in AGGREGATES:
-        return NotImplemented
-    if a.meta.is_complex:
-        raise TypeError(f"{name}.reduce of complex tensors is not supported")
+    if name not in AGGREGATES or a.meta.is_complex:
+        return _by_lines(ufunc, a, axis, keepdims, "reduce")
     aggregate, zero = AGGREGATES[name]
     n = math.prod(a.shape[i] for i in normal_axes(axis, a.ndim))
     if not n and name in ("maximum", "minimum", "fmax", "fmin"):
@@ -110,6 +118,40 @@ def ufunc_reduce(ufunc, a: Tensor, axis=0, keepdims=False, dtype=None) -> Tensor
     return _aggregate(a, axis, keepdims, [result], out)
 
 
+def _by_lines(ufunc, a: Tensor, axis, keepdims: bool, method: str) -> Tensor:
+    """ufunc.reduce or ufunc.accumulate itself, a line of at most MOST_LINE cells at a time, for functions that no
+    aggregate stands for (subtract, divide, hypot, ...). The other dimensions partition the work."""
+    if ufunc.nin != 2 or ufunc.nout != 1 or ufunc.signature:
+        raise ValueError(f"{method} needs a function of two arguments with one result")
+    axes = normal_axes(axis, a.ndim)
+    if len(axes) != 1:
+        if len(axes) != a.ndim or method != "reduce":
+            raise TypeError(f"{ufunc.__name__}.{method} goes along one axis, or over the whole tensor")
+        flat = _by_lines(ufunc, reshape(a, -1), 0, False, method)
+        return reshape(flat, (1,) * a.ndim) if keepdims else flat
+    at, n, shape = axes[0], a.shape[axes[0]], a.shape
+    if n > MOST_LINE:
+        raise ValueError(f"a line of {n} cells is too long for {ufunc.__name__}.{method} (at most {MOST_LINE})")
+    complex_, old = a.meta.is_complex, a.dtype
+    kind = ufunc.reduce(np.ones(2, old)).dtype if method == "reduce" else ufunc.accumulate(np.ones(2, old)).dtype
+    out = Meta(tuple(1 if i == at else m for i, m in enumerate(shape)) if method == "reduce" else shape, kind)
+    names, dims = ["re", "im"] if out.is_complex else ["v"], a.dims
+    others = [d for i, d in enumerate(dims) if i != at]
+
+    def line(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = np.zeros(n, old)
+        cells[pdf[f"d{at}"]] = pdf["re"] + 1j * pdf["im"] if complex_ else pdf["v"]
+        with np.errstate(all="ignore"):
+            found = np.atleast_1d(getattr(ufunc, method)(cells))
+        data = {d: np.arange(len(found)) if d == f"d{at}" else np.full(len(found), pdf[d].iloc[0]) for d in dims}
+        return pd.DataFrame(data | ({"re": found.real, "im": found.imag} if out.is_complex else {"v": found}))
+
+    cells = a.dense().df.select(*dims, *a.values)
+    schema = ", ".join([f"{d} long" for d in dims] + [f"{c} {sql_type(kind)}" for c in names])
+    result = Tensor(cells.groupBy(*others).applyInPandas(line, schema), out)
+    return result if keepdims or method != "reduce" else result.select([F.col(d) for d in others], [m for i, m in enumerate(shape) if i != at])
+
+
 def _by_ufunc(name):
     def f(a: Tensor, axis=None, out=None, keepdims=False, **_) -> Tensor:
         return ufunc_reduce(name, a, axis, keepdims)
@@ -158,21 +200,25 @@ def accumulate(ufunc, a: Tensor, axis=0) -> Tensor:
     """Running values along an axis; the other dimensions partition the work."""
     name = ufunc.__name__
     if name not in RUNNING or a.meta.is_complex and name != "add":
-        return NotImplemented
+        return _by_lines(ufunc, a, axis, True, "accumulate")
     axis = normal_axis(axis, a.ndim)
     others = [d for i, d in enumerate(a.dims) if i != axis]
     w = Window.partitionBy(*others).orderBy(f"d{axis}").rowsBetween(Window.unboundedPreceding, 0)
+    if not others and a.size > 1 << 10 and name in ("add", "multiply", "maximum", "minimum"):
+        return _flat_running(a, name)
     dense = a.dense()
     dtype = np.cumsum(np.zeros(1, a.dtype)).dtype if name in ("add", "multiply") else np.dtype(bool) if name.startswith("logical") else a.dtype
     cell = (lambda c: F.col(c).cast("int").cast("long")) if a.dtype.kind == "b" and name in ("add", "multiply") else (lambda c: F.col(c) != 0) if name.startswith("logical") and a.dtype.kind != "b" else F.col
-    return dense.map([RUNNING[name](cell(c)).over(w) for c in a.values], dtype)
+    found = [RUNNING[name](cell(c)).over(w) for c in a.values]
+    if a.dtype.kind == "f" and name in ("maximum", "minimum"):  # a NaN stays from where it occurs
+        found = [F.when(F.bool_or(F.isnan("v")).over(w), F.lit(float("nan"))).otherwise(found[0])]
+    return dense.map(found, dtype)
 
 
 @register("cumsum")
 def cumsum(a: Tensor, axis=None, dtype=None, out=None) -> Tensor:
-    """Along an axis a window per line. Over the flattened tensor: sums of blocks of cells, a running sum over the few
-    blocks, and windows inside blocks, so no task sees more than a block of cells."""
-    result = _flat_cumsum(a) if axis is None else accumulate(np.add, a, axis)
+    """Along an axis a window per line; over the flattened tensor by blocks."""
+    result = _flat_running(reshape(a, -1), "add") if axis is None else accumulate(np.add, a, axis)
     result = astype(result, dtype) if dtype else result
     if out is not None:
         out.df, out.meta = astype(result, out.dtype).df, Meta(result.shape, out.dtype)
@@ -185,17 +231,31 @@ def cumprod(a: Tensor, axis=None) -> Tensor:
     return accumulate(np.multiply, reshape(a, -1) if axis is None else a, 0 if axis is None else axis)
 
 
-def _flat_cumsum(a: Tensor) -> Tensor:
-    flat = reshape(a, -1).dense()
+def _flat_running(flat: Tensor, name: str) -> Tensor:
+    """Running sums, products or extremes of a vector: aggregates of blocks of cells, running ones over the few blocks,
+    and windows inside blocks, so no task sees more than a block of cells."""
+    flat, kind = flat.dense(), flat.dtype.kind
     block = max(1, math.isqrt(max(1, flat.size)))
-    cell = (lambda c: F.col(c).cast("int").cast("long")) if a.dtype.kind == "b" else F.col
-    df = flat.df.withColumn("__b", F.expr(f"d0 div {block}"))
-    sums = df.groupBy("__b").agg(*(F.sum(cell(c)).alias(f"s_{c}") for c in a.values))
-    before = sums.select("__b", *(F.coalesce(F.sum(f"s_{c}").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"b_{c}") for c in a.values))
-    w = Window.partitionBy("__b").orderBy("d0").rowsBetween(Window.unboundedPreceding, 0)
-    out = df.join(before, "__b").select("d0", *((F.sum(cell(c)).over(w) + F.col(f"b_{c}")).alias(c) for c in a.values))
-    dtype = np.cumsum(np.zeros(1, a.dtype)).dtype
-    return Tensor(out.select("d0", *(F.col(c).cast(sql_type(dtype)).alias(c) for c in a.values)), Meta(flat.shape, dtype))
+    dtype = np.cumsum(np.zeros(1, flat.dtype)).dtype if name in ("add", "multiply") else flat.dtype
+    nan = kind == "f" and name in ("maximum", "minimum")
+    values = [F.col(c).cast("int").cast("long") if kind == "b" else F.col(c) for c in flat.values]
+    if nan:
+        values.append(F.isnan("v"))
+    combine = [RUNNING[name]] * len(flat.values) + [F.bool_or] * nan
+    both = {"add": lambda x, y: x + y, "multiply": lambda x, y: x * y, "maximum": F.greatest, "minimum": F.least}[name]
+    cells = flat.df.select("d0", F.expr(f"d0 div {block}").alias("__b"), *(v.alias(f"__v{i}") for i, v in enumerate(values)))
+    parts = cells.groupBy("__b").agg(*(f(f"__v{i}").alias(f"__s{i}") for i, f in enumerate(combine)))
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most isqrt(size) + 1 rows
+    before = parts.select("__b", *(f(f"__s{i}").over(earlier).alias(f"__p{i}") for i, f in enumerate(combine)))
+    inside = Window.partitionBy("__b").orderBy("d0").rowsBetween(Window.unboundedPreceding, 0)
+    own = [f(f"__v{i}").over(inside) for i, f in enumerate(combine)]
+    found = [F.when(F.col(f"__p{i}").isNull(), o).otherwise(both(o, F.col(f"__p{i}")) if i < len(flat.values) else o | F.col(f"__p{i}")) for i, o in enumerate(own)]
+    if nan:
+        found = [F.when(found[1], F.lit(float("nan"))).otherwise(found[0])]
+    if kind == "b" and name in ("maximum", "minimum"):
+        found = [found[0] != 0]
+    out = cells.join(before, "__b").select("d0", *(x.cast(sql_type(dtype)).alias(c) for x, c in zip(found, flat.values, strict=True)))
+    return Tensor(out, Meta(flat.shape, dtype))
 
 
 def reduceat(ufunc, a: Tensor, indices, axis=0) -> Tensor:
@@ -208,28 +268,38 @@ def reduceat(ufunc, a: Tensor, indices, axis=0) -> Tensor:
         return NotImplemented
     if len(indices) > MOST_SPANS:
         raise ValueError(f"reduceat takes at most {MOST_SPANS} indices, which are broadcast")
-    parts = []
-    for k, i in enumerate(indices):
-        stop = indices[k + 1] if k + 1 < len(indices) else n
-        parts.append((k, i, stop if stop > i else i + 1))
-    spans = a.spark.createDataFrame(parts, "__k long, __lo long, __hi long")
     aggregate, _ = AGGREGATES[ufunc.__name__]
     d = F.col(f"d{axis}")
-    # coordinates are spread over the segments that hold them by a range join with a list given by the caller
-    df = a.dense().df.join(F.broadcast(spans), (d >= F.col("__lo")) & (d < F.col("__hi")))
-    keys = [F.col("__k").alias(f"d{i}") if i == axis else F.col(f"d{i}") for i in range(a.ndim)]
+    if len(indices) <= FEW_SPANS and (np.diff(indices) > 0).all():
+        df = a.dense().df.where(d >= indices[0]).withColumn("__k", _span(d, indices, 0, len(indices)))
+    else:
+        stops = [*indices[1:], n]
+        spans = [(k, i, stop if stop > i else i + 1) for k, (i, stop) in enumerate(zip(indices, stops, strict=True))]
+        # a range join with a list given by the caller
+        df = a.dense().df.join(F.broadcast(a.spark.createDataFrame(spans, "__k long, __lo long, __hi long")), (d >= F.col("__lo")) & (d < F.col("__hi")))
+    keys = [F.col("__k").cast("long").alias(f"d{i}") if i == axis else F.col(f"d{i}") for i in range(a.ndim)]
     out = df.select(*keys, *a.values).groupBy(*a.dims).agg(*(aggregate(c).alias(c) for c in a.values))
     return Tensor(out, Meta(tuple(len(indices) if i == axis else m for i, m in enumerate(a.shape)), a.dtype))
 
 
+def _span(d, starts: list[int], lo: int, hi: int):
+    """Which of starts[lo:hi] (ascending) is the last one up to d: a binary search as an expression."""
+    if hi - lo == 1:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(d < starts[mid], _span(d, starts, lo, mid)).otherwise(_span(d, starts, mid, hi))
+
+
 def scatter(ufunc, a: Tensor, index, b=None) -> Tensor:
     """ufunc.at without buffering: repeated indices all count. index: a list for one dimension, or a tuple of lists."""
     index = [np.asarray(x, np.int64) for x in (index if isinstance(index, tuple) else (index,))]
     if len(index) != a.ndim:
         raise IndexError("one list of indices for each dimension is expected")
     name = ufunc.__name__
-    if b is None:  # a unary ufunc is applied once per occurrence; idempotent or counted
-        raise TypeError("unary ufuncs are not supported by at")
+    if b is None:
+        return _apply_at(ufunc, a, index)
+    if isinstance(b, Tensor) and b.size > MOST_UPDATES:
+        raise ValueError(f"at() takes at most {MOST_UPDATES} values")
     value = b.to_numpy() if isinstance(b, Tensor) else np.asarray(b)
     index = np.broadcast_arrays(*index)
     value = np.broadcast_to(value, index[0].shape)
@@ -246,6 +316,24 @@ def scatter(ufunc, a: Tensor, index, b=None) -> Tensor:
     return Tensor(joined.select(*a.dims, F.when(u.isNull(), F.col("v")).otherwise(new).cast(sql_type(a.dtype)).alias("v")), a.meta)
 
 
+def _apply_at(ufunc, a: Tensor, index) -> Tensor:
+    """A function of one argument, once for every occurrence of a coordinate in the caller's lists."""
+    from .elementwise import unary
+
+    times = Counter(tuple(int(x) % n for x, n in zip(at, a.shape, strict=True)) for at in zip(*np.broadcast_arrays(*index), strict=True))
+    wanted = a.spark.createDataFrame([(*at, n) for at, n in times.items()], ", ".join([f"{d} long" for d in a.dims] + ["__n int"]))
+    held = wanted.join(a.df, a.dims, "left").select(*a.dims, "__n", *(F.coalesce(F.col(c), F.lit(0)).cast(sql_type(a.dtype)).alias(c) for c in a.values))
+    done = a.df.join(wanted, a.dims, "left_anti").select(*a.dims, *a.values)
+    for n in sorted(set(times.values())):  # as many rounds as there are different counts
+        part = Tensor(held.where(F.col("__n") == n).select(*a.dims, *a.values), a.meta)
+        for _ in range(n):
+            stored = part.df
+            part = astype(unary(ufunc, part), a.dtype)
+            part = Tensor(part.df.join(stored.select(*a.dims), a.dims, "left_semi"), a.meta)
+        done = done.unionByName(part.df)
+    return Tensor(done, a.meta)
+
+
 def as_rows(a: Tensor, rows, dtype):
     kinds = ", ".join([f"{d} long" for d in a.dims] + [f"v {sql_type(dtype)}"])
     return a.spark.createDataFrame(rows, kinds)

@@ -52,7 +52,7 @@ class Tensor(np.lib.mixins.NDArrayOperatorsMixin):
         importable(df.sparkSession)
 
     # -- metadata
-    shape = property(lambda self: self.meta.shape)
+    shape = property(lambda self: self.meta.shape, lambda self, shape: FUNCTIONS["reshape"](self, shape, inplace=True))
     dtype = property(lambda self: self.meta.dtype)
     ndim = property(lambda self: self.meta.ndim)
     size = property(lambda self: self.meta.size)

@@ -63,10 +63,11 @@ class mem:
 
     @staticmethod
     def qr(a, mode: str = "reduced") -> int:
-        m, n = a.shape
+        """Leading dimensions are a batch."""
+        *batch, m, n = a.shape
         k, size = min(m, n), np.dtype(a.dtype).itemsize
         out = {"reduced": m * k + k * n, "complete": m * m + m * n, "r": k * n, "raw": m * n + k}[mode]
-        return mem._bytes(a) + out * size
+        return mem._bytes(a) + math.prod(batch) * out * size
 
     @staticmethod
     def einsum(pattern: str, *operands) -> int:

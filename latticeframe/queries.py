@@ -46,6 +46,14 @@ def events(spark: SparkSession, sf_dir: str) -> Tensor:
     return lf.from_table(cells, ["user_id", "kind", "day"], "one", (users, len(TYPES), 31))
 
 
+def order_times(spark: SparkSession, sf_dir: str) -> Tensor:
+    """Order dates by key; those of every seventh key are taken out."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n, = extent(spark, sf_dir, "orders", "o_orderkey")
+    cells = orders.select(F.col("o_orderkey").cast("long").alias("d0"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp_ntz")).alias("v"))
+    return Tensor(cells, lf.Meta((n,), "M8[us]"))
+
+
 WITH = {
     "L": "L AS (SELECT l_partkey AS p, l_suppkey AS s, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)",
     "E": "E AS (SELECT vec_id AS i, CAST(UNNEST(range(64)) AS BIGINT) AS k, CAST(UNNEST(embedding) AS DOUBLE) AS v FROM embeddings)",
@@ -58,7 +66,7 @@ WITH = {
 
 def query(tables: str, sql: str | None):
     """Register a function of the tensors named in `tables`; sql reads the same names."""
-    source = {"L": quantities, "E": embeddings, "X": events}
+    source = {"L": quantities, "E": embeddings, "X": events, "O": order_times}
 
     def keep(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +75,10 @@ def query(tables: str, sql: str | None):
                 return out
             return out.df.select(*out.dims, *out.values)
 
+        run.__module__ = f.__module__
         QUERIES[f.__name__] = run
         if sql is not None:
-            ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(WITH[c] for c in tables) + " " if tables else "") + sql
+            ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(WITH[c] for c in tables if c in WITH) + " " if set(tables) & set(WITH) else "") + sql
         return f
 
     return keep
@@ -224,7 +233,7 @@ def remainder(spark, t):
     return np.remainder(t, 7.0)
 
 
-@query("LPSD", "SELECT a.p AS d0, a.s AS d1, GREATEST(a.v, b.v) AS v FROM D a JOIN D b ON a.p = b.p AND a.s = (SELECT MAX(s_suppkey) FROM supplier) - b.s WHERE GREATEST(a.v, b.v) <> 0")
+@query("L", "SELECT COALESCE(a.p, b.p) AS d0, COALESCE(a.s, b.s) AS d1, GREATEST(COALESCE(a.v, 0), COALESCE(b.v, 0)) AS v FROM L a FULL JOIN (SELECT p, (SELECT MAX(s_suppkey) FROM supplier) - s AS s, v FROM L) b ON a.p = b.p AND a.s = b.s WHERE GREATEST(COALESCE(a.v, 0), COALESCE(b.v, 0)) <> 0")
 def maximum(spark, t):
     out = np.maximum(t, t[:, ::-1])
     return out.df.where("v <> 0")
@@ -235,23 +244,13 @@ def log_guarded(spark, e):
     return rounded(np.log(e), 9)
 
 
-@query("L", "SELECT a.p AS d0, b.s AS d1, a.v * b.v AS v FROM (SELECT p, v FROM L WHERE s = 3) a, (SELECT s, v FROM L WHERE p = 5) b")
-def outer(spark, t):
-    return np.multiply.outer(t[:, 3], t[5])
-
-
 @query("LX", "SELECT L.p AS d0, L.s AS d1, CAST(w.t AS BIGINT) AS d2, L.v * w.v AS v FROM L, (SELECT t, SUM(v) AS v FROM X GROUP BY 1) w")
-def outer_whole(spark, t, x):
+def outer(spark, t, x):
     return np.multiply.outer(t, x.sum((0, 2)))
 
 
-@query("L", "SELECT a.p * 8 + b.p AS d0, a.s * 8 + b.s AS d1, a.v * b.v AS v FROM L a, L b WHERE a.p < 40 AND a.s < 20 AND b.p < 8 AND b.s < 8")
-def kron(spark, t):
-    return np.kron(t[:40, :20], t[:8, :8])
-
-
 @query("LX", "SELECT L.p AS d0, L.s * 5 + w.t AS d1, L.v * w.v AS v FROM L, (SELECT t, SUM(v) AS v FROM X GROUP BY 1) w")
-def kron_whole(spark, t, x):
+def kron(spark, t, x):
     return np.kron(t, x.sum((0, 2)))
 
 
@@ -286,13 +285,8 @@ def einsum_reduce(spark, x):
     return np.einsum("utd->t", x)
 
 
-@query("X", "SELECT CAST(c.t AS BIGINT) AS d0, CAST(b.t AS BIGINT) AS d1, SUM(a.g * b.v * c.v) AS v FROM (SELECT a.d AS d, b.d AS e, SUM(a.v * b.v) AS g FROM X a JOIN X b ON a.u = b.u AND a.t = b.t GROUP BY 1, 2) a JOIN X b ON b.d = a.e AND b.u = 1 JOIN X c ON c.d = a.d AND c.u = 2 GROUP BY 1, 2")
-def einsum_chain(spark, x):
-    return np.einsum("utd,ute,se,rd->rs", x, x, x[1], x[2])
-
-
 @query("X", "SELECT CAST(c.t AS BIGINT) AS d0, CAST(b.t AS BIGINT) AS d1, SUM(a.g * b.v * c.v) AS v FROM (SELECT a.d AS d, b.d AS e, SUM(a.v * b.v) AS g FROM X a JOIN X b ON a.u = b.u AND a.t = b.t GROUP BY 1, 2) a JOIN (SELECT t, d, SUM(v) AS v FROM X GROUP BY 1, 2) b ON b.d = a.e JOIN (SELECT t, d, SUM(v) AS v FROM X GROUP BY 1, 2) c ON c.d = a.d GROUP BY 1, 2")
-def einsum_chain_whole(spark, x):
+def einsum_chain(spark, x):
     w = x.sum(0)
     return np.einsum("utd,ute,se,rd->rs", x, x, w, w)
 
@@ -390,11 +384,11 @@ def schmidt_topk(spark, e):
     return rounded(lf.schmidt(e, 1, chi=5)[1])
 
 
-@query("", None)
+@query("", "SELECT CAST(a.range AS BIGINT) AS d0, CAST(b.range AS BIGINT) AS d1, ('0x' || substr(md5('1,' || a.range || ',' || b.range), 1, 13))::BIGINT / 4503599627370496e0 AS v FROM range(1000) a, range(20) b")
 def rand(spark):
     return lf.rand((1000, 20), seed=1, spark=spark)
 
 
-@query("L", None)
+@query("LPSD", "SELECT p AS d0, s AS d1, CASE WHEN v = 0 THEN 5e-324 ELSE POWER(2e0, FLOOR(LOG2(v)) - 52) END AS v FROM D")
 def nextafter_spacing(spark, t):
     return np.spacing(np.nextafter(t, np.inf))

@@ -58,10 +58,12 @@ empty = zeros
 
 
 def rand(shape, blockshape=None, seed: int = 0, spark: SparkSession | None = None) -> Tensor:
-    """Uniform on [0, 1): a hash of seed and coordinate, so recomputed partitions give the same values."""
+    """Uniform on [0, 1): the first 52 bits of the MD5 of seed and coordinate, so recomputed partitions, and any other
+    engine, give the same values."""
     shape, spark = _shape(shape), spark or session()
     cells = grid(spark, shape)
-    u = F.pmod(F.xxhash64(*(F.col(c) for c in cells.columns), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws(",", F.lit(str(seed)), *(F.col(c).cast("string") for c in cells.columns)))
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     return Tensor(cells.withColumn("v", u), Meta(shape, np.float64))
 
 

@@ -30,6 +30,6 @@ def cells(spark, name, shape):
 def test_products_take_whole_operands(spark, dense):
     t, x = dense
     w = x.sum((0, 2))
-    assert np.array_equal(cells(spark, "outer_whole", (*t.shape, 5)), np.multiply.outer(t, w))
-    assert np.array_equal(cells(spark, "kron_whole", (t.shape[0], t.shape[1] * 5)), np.kron(t, w[None]))
-    assert np.array_equal(cells(spark, "einsum_chain_whole", (5, 5)), np.einsum("utd,ute,se,rd->rs", x, x, x.sum(0), x.sum(0), optimize=True))
+    assert np.array_equal(cells(spark, "outer", (*t.shape, 5)), np.multiply.outer(t, w))
+    assert np.array_equal(cells(spark, "kron", (t.shape[0], t.shape[1] * 5)), np.kron(t, w[None]))
+    assert np.array_equal(cells(spark, "einsum_chain", (5, 5)), np.einsum("utd,ute,se,rd->rs", x, x, x.sum(0), x.sum(0), optimize=True))
