@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_roles, decontaminate, exact_dedup, jaccard_join, packing, quality, sharding, surrogates, token_records, warc_zip
-from .shared import new_dir
+from .shared import file_system, new_dir, publish, shared_dir
 
 
 def tokenizer(name: str) -> str:
@@ -59,8 +61,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The key in spark.latticeframe.surrogateKey; where it is unset, one that is drawn once and kept in the shared folder."""
+    if key := spark.conf.get("spark.latticeframe.surrogateKey", ""):
+        return key
+    uri = f"{shared_dir(spark)}/surrogate.key"
+    files, path = file_system(uri)
+    if not files.get_file_info(path).is_file:
+        publish(uri, lambda out: out.write(secrets.token_hex(32).encode()))
+    with files.open_input_stream(path) as f:
+        return f.read().decode()
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), key="latticeframe")
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), surrogate_key(spark))
 
 
 QUERIES = {f.__name__: f for f in (
