@@ -166,7 +166,7 @@ class Matcher:
         at, length = (np.concatenate(x) for x in zip(*windows, strict=True))
         odd = mix(np.arange(1, most + 1, dtype=U64)) | U64(1)
         pairs: dict[tuple[int, int], list[int]] = {}
-        for a in range(0, len(at), 2048):
+        for a in range(0, len(at), 4096):
             some, long = at[a : a + 4096], length[a : a + 4096]
             seqs = padded[some[:, None] + np.arange(most)]
             inside = np.minimum(long, ends[owner[some]] - some)  # texts shorter than the item end before the window does
@@ -226,7 +226,7 @@ class Matcher:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", recall: float = 0.98, most_items: int = 20_000) -> DataFrame:
-    """One row for each document and benchmark item that match: id, item, edits, item_words, position (first word).
+    """One row for each document and benchmark item that match: id, item, edits, item_words, position (first word), text_hash.
 
     Every window of every whole text is searched. The benchmark is taken in blocks of about most_items items, one scan
     of the documents each, so what a task holds is bounded. Items without words match nothing; null and empty texts
@@ -234,24 +234,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     prepare(spark)
-    blocks = max(1, -(-benchmark.count() // most_items))
-    schema = pa.schema([(id_col, pa.int64()), (item_col, pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("position", pa.int64())])
-    plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    items = benchmark.select(F.col(item_col).cast("long").alias(item_col), F.col(item_text).cast("string").alias(item_text)).distinct()
+    blocks = max(1, -(-items.count() // most_items))
+    schema = pa.schema([(id_col, pa.int64()), (item_col, pa.int64()), ("edits", pa.int32()), ("item_words", pa.int32()), ("position", pa.int64()), ("text_hash", pa.int64())])
+    plain = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string")))
     out = None
     for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == b).select(F.col(item_col).cast("long"), F.col(item_text).cast("string"))
+        part = items.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == b)  # distinct rows: a hash deals them evenly
         matcher = spark.sparkContext.broadcast(Matcher([tuple(r) for r in part.collect()], recall))
 
         def search(batches, matcher=matcher):
             caches.only("normal words")
             m = matcher.value
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                ids, texts, marks = (c.to_pylist() for c in batch.columns)
                 for lo, hi in chunks(texts, 512, 3_000_000):
-                    rows = [(ids[lo + t], m.items[k][0], e, len(m.items[k][1]), p) for t, k, e, p in m.search(texts[lo:hi])]
+                    rows = [(ids[lo + t], m.items[k][0], e, len(m.items[k][1]), p, marks[lo + t]) for t, k, e, p in m.search(texts[lo:hi])]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-        found = plain.mapInArrow(search, f"`{id_col}` long, `{item_col}` long, edits int, item_words int, position long")
+        found = plain.mapInArrow(search, f"`{id_col}` long, `{item_col}` long, edits int, item_words int, position long, text_hash long")
         out = found if out is None else out.unionByName(found)
     return out

@@ -27,7 +27,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
     text: the normalised text; null counts as empty. Equal means the same SHA-256 of the UTF-8 text. Other columns of
     docs are not read. Repeated rows that share the winning id are all kept; a null id is never the largest unless all
     ids of the group are null (then keep_id is null and its rows are kept). An empty table gives no rows.
-    heavy bounds the broadcast rows; counters bounds the sketch of each task.
+    heavy bounds the broadcast rows; counters bounds the sketch of each task. A digest past the heavy-th is grouped by the
+    ordinary shuffle, where partial sums meet; its join is left to adaptive skew handling.
     """
     text = F.col("text") if text is None else text
     table = stored(docs.select(F.col(id_col).alias("__id"), F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).alias(DIGEST)), "digests")
@@ -47,5 +48,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids are expected to be unique, rows with a null id stay."""
-    return without(docs, exact_dedup(docs, id_col, text).where(~F.col("kept")), id_col, native=True)
+    """The rows of docs that stay, with all their columns. Rows are told apart by id and text, so of rows that share an id
+    only those go whose own text has a larger id elsewhere; a row with a null id goes if its text has one with an id."""
+    text = F.col("text") if text is None else text
+    own = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+    return without(docs, exact_dedup(docs, id_col, text).where(~F.col("kept")), id_col, native=True, mark="text_sha256", mark_of=own)

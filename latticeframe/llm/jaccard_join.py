@@ -6,9 +6,15 @@
    threshold share a shingle among the first n - ceil(t n) + 1 of each, so only those prefixes are brought together.
 3. Sets that share a prefix shingle form a list; equal lists are kept once. Long lists are cut into tiles by size band
    (sizes within the ratio t meet in one band or in neighbouring ones). In a tile, the bit counts of the signatures
-   bound each overlap from above; what passes is kept as a spanning forest, never as all pairs.
+   bound each overlap from above; what passes is kept as a spanning forest, never as all pairs. A shingle that more than
+   HUGE sets hold has no list: its sets join one group for each size band by a star around the least key.
 4. Groups of sets that are still connected get their arrays, read from the stored table by file and row, and exact
-   intersections decide. Pairs already connected are skipped; a large group is cut into blocks whose arrays fit a task.
+   intersections decide. Pairs already connected are skipped. A group is cut into blocks of at most BLOCK sets; after the
+   blocks and a few members of each have been compared, the sets outside of the group's largest component meet all others.
+
+Sets are told apart by 128 bits of their shingles; where two share the 64-bit key they get other keys. Shingles are
+compared by 48 bits of their hash: a pair of sets of n and m shingles is judged wrong with a probability under
+n m / 2^48, and only if the colliding shingle decides (two sets of 1,000 shingles: 4e-9).
 """
 
 from __future__ import annotations
@@ -24,13 +30,16 @@ from . import caches
 from .arrow import Forest, column, numbers, whole_groups
 from .components import components
 from .shared import drop, file_system, gathered, kept, partitions, prepare, stored, stored_by_workers
-from .words import ascii_words, hashes, shingles
+from .words import ascii_words, hashes, mix, shingles
 
 U64 = np.uint64
 COUNTERS = 1 << 20
 CHUNKS = 64
 LONG_LIST = 1024
-BLOCK = 4096
+HUGE = 1 << 14
+BLOCK = 128
+#: Bytes of prefix entries that a task takes, where the table asks for more tasks than shuffle partitions.
+TASK_BYTES = 32 << 20
 
 
 def need(a, b, num: int, den: int):
@@ -63,29 +72,29 @@ def fold(words: np.ndarray, to: int) -> np.ndarray:
     return words
 
 
-def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Stored: doc_id, n, sid (set key; null for an empty set), digest, bits, elements (null in later copies of a set within a task)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("elements", pa.binary())])
+def shingle_table(docs: DataFrame, id_col: str, text_col: str, width: int, key_bytes: int = 8) -> DataFrame:
+    """Stored: doc_id, text_hash, n, sid (set key; null for an empty set), digest, bits, elements (null in later copies of a set within a task)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("elements", pa.binary())])
 
     def sets(batches):
         caches.only("words")
         seen: set[bytes] = set()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, text_hash in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 full = shingles(hashes(ascii_words(text)), width)
                 if not len(full) or doc_id is None:
-                    rows.append((doc_id, len(full), None, None, None, None))
+                    rows.append((doc_id, text_hash, len(full), None, None, None, None))
                     continue
                 h = np.unique(full >> U64(16))
                 digest = xxhash.xxh3_128_digest(full.tobytes())
                 first = digest not in seen
                 if first:
                     seen.add(digest)
-                rows.append((doc_id, len(full), int.from_bytes(digest[:8], "little", signed=True), digest, bitmap(h).tobytes() if first else None, pack48(h) if first else None))
+                rows.append((doc_id, text_hash, len(full), int.from_bytes(digest[:key_bytes], "little", signed=True), digest, bitmap(h).tobytes() if first else None, pack48(h) if first else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return stored_by_workers(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), sets, "doc_id long, n long, sid long, digest binary, bits binary, elements binary", "shingles")
+    return stored_by_workers(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.xxhash64(F.col(text_col).cast("string"))), sets, "doc_id long, text_hash long, n long, sid long, digest binary, bits binary, elements binary", "shingles")
 
 
 def shingle_counts(sets: DataFrame) -> np.ndarray:
@@ -120,39 +129,64 @@ def shingle_counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_lists(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sig, size, members (set keys, distinct, sorted): the distinct lists of sets that share a prefix shingle."""
-    spark = sets.sparkSession
-    counts = shingle_counts(sets)
+def distinct_keys(sets: DataFrame, rounds: int = 8) -> DataFrame:
+    """sets, with other keys for sets that share theirs with one of another digest (the least digest keeps it)."""
+    for turn in range(rounds):
+        named = sets.where("digest is not null").groupBy("sid").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+        shared = stored_by_workers(named.where("low <> high").select("sid", "low"), iter, "sid long, low binary", "shared-keys")
+        if not shared._rows:
+            return sets
+        other = F.when(F.col("low").isNull() | (F.col("digest") == F.col("low")), F.col("sid")).otherwise(F.xxhash64("digest", F.lit(turn)))
+        rows = sets._rows
+        sets = stored(sets.join(shared, "sid", "left").withColumn("sid", other).select(*sets.columns), "shingles")
+        sets._rows = rows
+    raise ValueError("set keys still collide")
+
+
+def prefix_lists(sets: DataFrame, num: int, den: int, huge: int) -> tuple[DataFrame, DataFrame | None]:
+    """sig, size, members (set keys, distinct, sorted): the distinct lists of sets that share a prefix shingle; and, for
+    shingles that more than `huge` sets may hold, rows (key, sid) instead, or None if there are none."""
+    spark, counts = sets.sparkSession, shingle_counts(sets)
     rank = np.floor(np.log2(np.maximum(1, counts / (2 * counts.mean() + 32)))).astype(np.uint8)  # frequency class of a bucket
-    ranks = spark.sparkContext.broadcast(rank)  # COUNTERS bytes
-    buckets = max(16, 4 * partitions(spark))
-    shift = U64(48)
+    ranks = spark.sparkContext.broadcast(rank | (counts > huge).astype(np.uint8) << 7)  # COUNTERS bytes; the top bit marks buckets over `huge`
+    entries = sets.where("elements is not null").agg(F.sum(F.ceil(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
+    tasks = max(partitions(spark), 14 * entries // TASK_BYTES)
+    buckets = U64(max(16, 16 * tasks))
+    names = ["bucket", "keys", "owners", "key", "sid"]
 
     def deal(batches):
         for batch in batches:
-            keys, owners = [], []
+            keys, owners, hot_keys, hot_owners = [], [], [], []
             for sid, data in zip(column(batch, "sid").to_pylist(), column(batch, "elements").to_pylist(), strict=True):
                 h = unpack48(data)
                 n = len(h)
                 take = n - -(-num * n // den) + 1
                 cls = ranks.value[(h >> U64(28)).astype(np.int64)]
                 if cls.any():
-                    h = h[np.argsort(cls, kind="stable")]
+                    order = np.argsort(cls, kind="stable")
+                    h, cls = h[order], cls[order]
+                    hot = h[:take][cls[:take] >= 128]
+                    hot_keys.append(hot)
+                    hot_owners.append(np.full(len(hot), sid, np.int64))
+                    h = h[: take - len(hot)]
                 keys.append(h[:take])
-                owners.append(np.full(take, sid, np.int64))
-            if not keys:
+                owners.append(np.full(len(keys[-1]), sid, np.int64))
+            if hot_keys and sum(map(len, hot_keys)):  # one row a key: they are grouped by Spark, and never held together
+                found = np.concatenate(hot_keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(np.concatenate(hot_owners))], names=names)
+            if not keys or not sum(map(len, keys)):
                 continue
             keys, owners = np.concatenate(keys), np.concatenate(owners)
-            bucket = (keys * U64(buckets) >> shift).astype(np.int64)
+            bucket = (mix(keys) % buckets).astype(np.int64)  # prefixes hold the least hashes: these are dealt by others
             order = np.lexsort((keys, bucket))
             keys, owners, bucket = keys[order], owners[order], bucket[order]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array(bucket[cuts[:-1]], pa.int32()),
-                "keys": [pack48(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-                "owners": [owners[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
-            })
+            yield pa.RecordBatch.from_arrays([
+                pa.array(bucket[cuts[:-1]], pa.int32()),
+                pa.array([pack48(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                pa.array([owners[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                pa.nulls(len(cuts) - 1, pa.int64()), pa.nulls(len(cuts) - 1, pa.int64()),
+            ], names=names)
 
     def gather(batches):
         for batch, bounds in whole_groups(batches, "bucket"):
@@ -166,25 +200,37 @@ def prefix_lists(sets: DataFrame, num: int, den: int) -> DataFrame:
                 new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])  # copies of a set held by several tasks
                 keys, owners = keys[new], owners[new]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
-                lists: dict[int, np.ndarray] = {}
-                for i in np.flatnonzero(np.diff(cuts) > 1):
-                    members = owners[cuts[i] : cuts[i + 1]]
-                    lists[xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)] = members
-                items = list(lists.items())
+                lists = dict.fromkeys(owners[cuts[i] : cuts[i + 1]].tobytes() for i in np.flatnonzero(np.diff(cuts) > 1))
+                items = [(xxhash.xxh3_64_intdigest(x) - (1 << 63), np.frombuffer(x, np.int64)) for x in lists]
                 for at in range(0, len(items), 4096):
                     sigs, members = zip(*items[at : at + 4096], strict=True)
                     offsets = np.cumsum([0, *map(len, members)]).astype(np.int32)
                     yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs, pa.int64()), "size": pa.array(np.diff(offsets), pa.int32()), "members": pa.ListArray.from_arrays(offsets, np.concatenate(members))})
 
-    dealt = sets.where("elements is not null").select("sid", "elements").mapInArrow(deal, "bucket int, keys binary, owners binary")
-    lists = dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, size int, members array<long>")
-    return lists.groupBy("sig").agg(F.first("size").alias("size"), F.first("members").alias("members"))
+    dealt = sets.where("elements is not null").select("sid", "elements").mapInArrow(deal, "bucket int, keys binary, owners binary, key long, sid long")
+    lists = dealt.where("bucket is not null").select("bucket", "keys", "owners").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, size int, members array<long>")
+    lists = lists.groupBy("sig", "members").agg(F.first("size").alias("size")).select("sig", "size", "members")  # by the members themselves, so no list is lost
+    return lists, dealt.where("key is not null").select("key", "sid") if (counts > huge).any() else None
+
+
+def band_of(n, num: int, den: int):
+    """Size band: sizes within the ratio num / den are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (float(np.log(den / num)) * (1 - 1e-9))).cast("int")
+
+
+def star_edges(hot: DataFrame, narrow: DataFrame, num: int, den: int) -> DataFrame:
+    """Stored: a, b: the sets of a frequent shingle and a size band (or the one below), each with the least key among them."""
+    rows = hot.distinct().join(narrow.select("sid", "n"), "sid")
+    rows = rows.select("key", "sid", F.explode(F.array(band_of(F.col("n"), num, den), band_of(F.col("n"), num, den) + 1)).alias("band"))
+    least = stored_by_workers(rows.groupBy("key", "band").agg(F.min("sid").alias("b")), iter, "key long, band int, b long", "stars")
+    least = F.broadcast(least) if least._rows <= 100_000 else least
+    edges = rows.join(least, ["key", "band"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    return stored_by_workers(edges, iter, "a long, b long", "star-edges")
 
 
 def candidate_edges(lists: DataFrame, narrow: DataFrame, num: int, den: int) -> DataFrame:
     """Stored: a, b: a spanning forest, for each list or tile, of the pairs that the bounds let pass."""
-    ratio = float(np.log(den / num)) * (1 - 1e-9)
-    band = F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")
+    band = band_of(F.col("n"), num, den)
     long = F.col("size") > LONG_LIST
     rows = lists.select("sig", "size", F.explode("members").alias("sid")).join(narrow.select("sid", "n", "bits"), "sid")
     tiles = F.when(long, F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))  # a member is a guest in the next band's tile
@@ -286,13 +332,17 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     return stored_by_workers(rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "n", "sid"), verify, "a long, b long", "links")
 
 
-def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """node, comp over set keys with at least one link to another set. sets: the stored shingle_table()."""
-    lists = kept(prefix_lists(sets, num, den), "lists", 4 * sets._rows)
+def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK, huge: int = HUGE) -> DataFrame:
+    """node, comp over set keys with at least one link to another set. sets: a stored shingle table of distinct_keys()."""
+    lists, hot = prefix_lists(sets, num, den, huge)
+    lists = kept(lists, "lists", 4 * sets._rows)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    held = sets.where("elements is not null").select("sid", "n", "digest", "bits", place.alias("place"))
-    narrow = kept(held.groupBy("sid").agg(F.min(F.struct("digest", "n")).alias("low"), F.max("digest").alias("high"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")).select("sid", F.when(F.col("low.digest") == F.col("high"), F.col("low.n")).otherwise(F.raise_error(F.lit("two sets share a 64-bit key"))).alias("n"), "bits", "place"), "sets", sets._rows)
-    groups = components(candidate_edges(lists, narrow, num, den))
+    held = sets.where("elements is not null").select("sid", "n", "bits", place.alias("place"))
+    narrow = kept(held.groupBy("sid").agg(F.min("n").alias("n"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")), "sets", sets._rows)
+    edges = candidate_edges(lists, narrow, num, den)
+    if hot is not None:
+        edges = edges.unionByName(star_edges(hot, narrow, num, den))
+    groups = components(edges)
     sizes = groups.groupBy("comp").count()
     where = groups.join(sizes, "comp").select(F.col("node").alias("sid"), F.col("comp").alias("grp"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     where = where.join(narrow.select("sid", "place.file", "place.row"), "sid")
@@ -301,14 +351,16 @@ def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFr
     links = exact_edges(arrays.withColumn("comp", F.col("sid")), num, den)
     large = where.where("blocks > 1").select("grp", "blocks").distinct()
     if large.limit(1).count():
-        links = _between_blocks(arrays, links, stored(large, "large"), num, den)
+        links = _between_blocks(arrays, links, stored(large, "large"), num, den, block)
     found = components(links)
     drop(lists, arrays)
     return found
 
 
-def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between the blocks of large groups: first a few members of every block's components, then every pair of blocks that still holds several components."""
+def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links between the blocks of large groups. First one member of every block's components, in bundles of 16 blocks.
+    Then, where a group still has several components, the sets outside of its largest one, in blocks of their own, meet
+    every block of the group; sets of the largest component need no comparison with each other."""
     def labelled(links):
         comp = components(links)
         return arrays.join(large, "grp").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -317,26 +369,34 @@ def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num:
     some = rows.join(rows.groupBy("grp", "part", "comp").agg(F.min_by("sid", F.xxhash64("sid")).alias("one")), ["grp", "part", "comp"]).where("sid = one").drop("one", "part")
     some = some.withColumn("part", F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.col("blocks") / 16).cast("int")).cast("int"))
     links = links.unionByName(exact_edges(some, num, den))
+    drop(rows)
     rows = stored(labelled(links), "labelled")
-    open_groups = rows.groupBy("grp").agg(F.count_distinct("comp").alias("comps"), F.max("comp").alias("main")).where("comps > 1").select("grp")
-    rows = rows.join(open_groups, "grp")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = rows.select("*", other).where("other <> part").withColumn("part", (F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")).cast("int")).drop("other")
-    return links.unionByName(exact_edges(tiles, num, den))
+    parts = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    opened = rows.join(parts.where("others > 0").select("grp", "main", F.ceil(F.col("others") / block).cast("int").alias("guests")), "grp")
+    columns = ["grp", "sid", "n", "elements", "comp"]
+    hosts = opened.select(*columns, F.col("part").alias("host"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"), "guests")
+    outside = opened.where("comp <> main").withColumn("guest", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("guests")).cast("int"))
+    outside = outside.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("host"), "guest", "guests")
+    tiles = hosts.unionByName(outside).withColumn("part", F.col("host").cast("long") * F.col("guests") + F.col("guest")).drop("host", "guest", "guests")
+    found = links.unionByName(exact_edges(tiles, num, den))
+    drop(rows)
+    return found
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, block: int = BLOCK) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links with overlap / union >= num / den).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, block: int = BLOCK, huge: int = HUGE, key_bytes: int = 8) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links with overlap / union >= num / den),
+    text_hash (xxhash64 of the text, to tell rows of one id apart).
 
     A null, empty or blank text has no shingles and links with nothing; its component is itself. A row with a null id
-    has a null component. Rows that share an id are one document. An empty table gives no rows; other columns are not
-    read. Links between equal sets are implied by their common set key, so copies never meet as pairs.
+    has a null component. Rows that share an id are judged each by its own text; they need not share a component. An
+    empty table gives no rows; other columns are not read. block and huge bound what a task holds and change no result;
+    key_bytes is for tests. Links between equal sets are implied by their common set key, so copies never meet as pairs.
     """
     spark = docs.sparkSession
     prepare(spark)
-    sets = shingle_table(docs, id_col, text_col, width)
-    found = link_sets(sets, num, den, block)
-    mine = sets.select("doc_id", "n", "sid")
+    sets = distinct_keys(shingle_table(docs, id_col, text_col, width, key_bytes))
+    found = link_sets(sets, num, den, block, huge)
+    mine = sets.select("doc_id", "text_hash", "n", "sid")
     keyed = mine.where("sid is not null")
     frequent = keyed.select(F.expr("approx_top_k(sid, 64, 4096)").alias("top")).select(F.explode("top").alias("top")).where("top.count > 1000").select("top.item").limit(64)
     hot = [r[0] for r in frequent.collect()]  # set keys with many copies, at most 64: settled by broadcast
@@ -347,4 +407,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     label = kept(label.join(comp_low, "comp").select("sid", "component_id"), "set-components", sets._rows)
     cold = mine.where(~is_hot | F.col("sid").isNull()).join(label, "sid", "left")
     out = cold if not hot else cold.unionByName(mine.where(is_hot).join(F.broadcast(label.where(is_hot)), "sid"))
-    return gathered(out, sets._rows).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return gathered(out, sets._rows).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")

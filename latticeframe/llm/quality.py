@@ -148,7 +148,7 @@ def kth_largest(table: DataFrame, k: int, small: int = 4096) -> tuple[float, int
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 20_000, seed: int = 7) -> DataFrame:
-    """One row per document: id, log_weight, sample_key (log weight plus Gumbel noise), selected.
+    """One row per document: id, log_weight, sample_key (log weight plus Gumbel noise), selected, text_hash (xxhash64).
 
     labels: id, quality (1 is good), toxic (1 is toxic); clean means quality 1 and toxic 0. At most most_labels labelled
     rows are used (those with the smallest hash of the id): clean ones of one half are the target; the level parts
@@ -170,10 +170,10 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             found = [grams(t) for t in batch.column(1).to_pylist()]
             weight = [round(float(ratios[g].mean()) * UNIT, 6) if len(g) else 0.0 for g in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight, pa.float64())], names=["id", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weight, pa.float64())], names=["id", "text_hash", "weight"])
 
     uniform = (F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(1 << 53)) + F.lit(0.5)) / F.lit(float(1 << 53))
-    table = stored_by_workers(plain, score, "id long, weight double", "scores").withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
+    table = stored_by_workers(plain.withColumn("text_hash", F.xxhash64("text")), score, "id long, text_hash long, weight double", "scores").withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
     judged = table.join(F.broadcast(known.where("half = 1 and (clean or not good)")), "id").select("weight", "clean").collect() if known.limit(1).count() else []  # the labelled sample
     level = best_level(np.array([r[0] for r in judged]), np.array([r[1] for r in judged], bool))
     k = table.where(F.col("weight") >= F.lit(level)).count()
@@ -182,4 +182,4 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         key, last = kth_largest(table, k)
         tie = F.col("id").isNull() if last is None else F.coalesce(F.col("id") <= last, F.lit(True))
         chosen = (F.col("key") > key) | ((F.col("key") == key) & tie)
-    return table.select(F.col("id").alias(id_col), F.col("weight").alias("log_weight"), F.col("key").alias("sample_key"), chosen.alias("selected"))
+    return table.select(F.col("id").alias(id_col), F.col("weight").alias("log_weight"), F.col("key").alias("sample_key"), chosen.alias("selected"), "text_hash")

@@ -30,7 +30,7 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, num=3, den=4)
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, num=3, den=4).drop("text_hash")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
+from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[2])
 DIR_KEY = "spark.checkpoint.dir"
@@ -130,8 +130,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 500_000, native: bool = False) -> DataFrame:
-    """docs less the rows whose id is in gone (one column, stored first); gone is broadcast only if it has at most `most` ids. Rows with a null id stay."""
-    ids = gone.select(id_col).distinct()
-    gone = stored(ids, "gone") if native else stored_by_workers(ids, iter, ids.schema, "gone")
-    return docs.join(broadcast(gone) if gone.count() <= most else gone, id_col, "left_anti").select(docs.columns)
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 500_000, native: bool = False, mark: str = "text_hash", mark_of=None) -> DataFrame:
+    """docs less the rows whose id and text are in gone (the id and a column `mark`, a hash of the text; stored first).
+
+    Rows that share an id with another text stay, and so do all copies of a row together. A null id equals a null id.
+    gone is broadcast only if it has at most `most` rows. mark_of is the column that docs have as mark, by default the
+    xxhash64 of the text.
+    """
+    named = gone.select(F.col(id_col).alias("__gone_id"), F.col(mark).alias("__gone_mark")).distinct()
+    named = stored(named, "gone") if native else stored_by_workers(named, iter, named.schema, "gone")
+    mark_of = F.xxhash64(docs["text"].cast("string")) if mark_of is None else mark_of
+    same = docs[id_col].eqNullSafe(F.col("__gone_id")) & (mark_of == F.col("__gone_mark"))
+    return docs.join(F.broadcast(named) if named.count() <= most else named, same, "left_anti")

@@ -68,9 +68,10 @@ def test_jaccard_join(documents):
     assert result(documents) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_jaccard_near_copies(spark, block, monkeypatch):
-    """A large group of near copies, a passage shared by many texts, borderline pairs and short texts; also in small blocks and tiles."""
+@pytest.mark.parametrize("block,huge,key_bytes", [(4096, 1 << 14, 8), (16, 10, 1)])
+def test_jaccard_near_copies(spark, block, huge, key_bytes, monkeypatch):
+    """A large group of near copies, a passage shared by many texts, borderline pairs and short texts; also in small
+    blocks and tiles, with frequent shingles as stars, and with set keys of one byte, most of which collide."""
     monkeypatch.setattr(jaccard_join, "LONG_LIST", 20)
     rng = random.Random(1)
     word = lambda: f"v{rng.randrange(4000)}"
@@ -84,7 +85,7 @@ def test_jaccard_near_copies(spark, block, monkeypatch):
     texts += [" ".join(passage + [word() for _ in range(rng.randrange(5, 200))]) for _ in range(60)]
     texts += [" ".join(base[:k]) for k in range(0, 60)] + ["One two", "one TWO", "one", "", None]
     rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
-    assert result(spark.createDataFrame(rows, "doc_id long, text string"), block=block) == brute(rows)
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), block=block, huge=huge, key_bytes=key_bytes) == brute(rows)
 
 
 def test_jaccard_odd(odd):
@@ -96,6 +97,17 @@ def test_jaccard_odd(odd):
     assert jaccard_join.jaccard_components(odd.where("false")).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """A row goes by its own text: none is lost because another row of its id goes."""
+    docs = spark.createDataFrame([(2, "x"), (2, "y"), (3, "x"), (None, "x"), (None, "z"), (4, None), (5, ""), (5, "")], "doc_id long, text string")
+    stays = sorted(((r.doc_id, r.text) for r in exact_dedup.survivors(docs).collect()), key=str)
+    assert stays == sorted([(2, "y"), (3, "x"), (None, "z"), (5, ""), (5, "")], key=str)
+    texts = [f"w{k} a b c d e f g" for k in range(3)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[1])]
+    got = {(r.doc_id, r.text_hash): r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted((k[0], v) for k, v in got.items()) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+
+
 def test_need_and_bounds():
     for a in range(1, 40):
         for b in range(a, 60):
