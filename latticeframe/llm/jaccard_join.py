@@ -37,7 +37,7 @@ COUNTERS = 1 << 20
 CHUNKS = 64
 LONG_LIST = 1024
 HUGE = 1 << 14
-BLOCK = 128
+BLOCK = 256
 #: Bytes of prefix entries that a task takes, where the table asks for more tasks than shuffle partitions.
 TASK_BYTES = 32 << 20
 
@@ -143,16 +143,15 @@ def distinct_keys(sets: DataFrame, rounds: int = 8) -> DataFrame:
     raise ValueError("set keys still collide")
 
 
-def prefix_lists(sets: DataFrame, num: int, den: int, huge: int) -> tuple[DataFrame, DataFrame | None]:
-    """sig, size, members (set keys, distinct, sorted): the distinct lists of sets that share a prefix shingle; and, for
-    shingles that more than `huge` sets may hold, rows (key, sid) instead, or None if there are none."""
+def prefix_lists(sets: DataFrame, num: int, den: int, huge: int) -> DataFrame:
+    """sig, size, members (set keys, distinct, sorted): the distinct lists of sets that share a prefix shingle. A
+    shingle that more than `huge` sets may hold has parts of its list instead: sig is the shingle, size is -1."""
     spark, counts = sets.sparkSession, shingle_counts(sets)
     rank = np.floor(np.log2(np.maximum(1, counts / (2 * counts.mean() + 32)))).astype(np.uint8)  # frequency class of a bucket
     ranks = spark.sparkContext.broadcast(rank | (counts > huge).astype(np.uint8) << 7)  # COUNTERS bytes; the top bit marks buckets over `huge`
     entries = sets.where("elements is not null").agg(F.sum(F.ceil(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
     tasks = max(partitions(spark), 14 * entries // TASK_BYTES)
     buckets = U64(max(16, 16 * tasks))
-    names = ["bucket", "keys", "owners", "key", "sid"]
 
     def deal(batches):
         for batch in batches:
@@ -171,27 +170,26 @@ def prefix_lists(sets: DataFrame, num: int, den: int, huge: int) -> tuple[DataFr
                     h = h[: take - len(hot)]
                 keys.append(h[:take])
                 owners.append(np.full(len(keys[-1]), sid, np.int64))
-            if hot_keys and sum(map(len, hot_keys)):  # one row a key: they are grouped by Spark, and never held together
-                found = np.concatenate(hot_keys).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary()), pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(np.concatenate(hot_owners))], names=names)
-            if not keys or not sum(map(len, keys)):
-                continue
-            keys, owners = np.concatenate(keys), np.concatenate(owners)
-            bucket = (mix(keys) % buckets).astype(np.int64)  # prefixes hold the least hashes: these are dealt by others
-            order = np.lexsort((keys, bucket))
-            keys, owners, bucket = keys[order], owners[order], bucket[order]
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(bucket[cuts[:-1]], pa.int32()),
-                pa.array([pack48(keys[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                pa.array([owners[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                pa.nulls(len(cuts) - 1, pa.int64()), pa.nulls(len(cuts) - 1, pa.int64()),
-            ], names=names)
+            for hot, k, o in ((False, keys, owners), (True, hot_keys, hot_owners)):
+                if not sum(map(len, k)):
+                    continue
+                k, o = np.concatenate(k), np.concatenate(o)
+                # prefixes hold the least hashes: another hash deals them; entries of frequent shingles are dealt by their set
+                bucket = (mix(o.view(U64) if hot else k) % buckets).astype(np.int64)
+                order = np.lexsort((k, bucket))
+                k, o, bucket = k[order], o[order], bucket[order]
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array(bucket[cuts[:-1]], pa.int32()), "hot": pa.array([hot] * (len(cuts) - 1)),
+                    "keys": [pack48(k[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                    "owners": [o[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
+                })
 
     def gather(batches):
-        for batch, bounds in whole_groups(batches, "bucket"):
+        for batch, bounds in whole_groups(batches, "bucket", "hot"):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 part = batch.slice(int(a), int(b - a))
+                hot = column(part, "hot")[0].as_py()
                 keys = np.concatenate([unpack48(x) for x in column(part, "keys").to_pylist()])
                 owners = np.concatenate([np.frombuffer(x, np.int64) for x in column(part, "owners").to_pylist()])
                 order = np.lexsort((owners, keys))
@@ -200,17 +198,22 @@ def prefix_lists(sets: DataFrame, num: int, den: int, huge: int) -> tuple[DataFr
                 new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])  # copies of a set held by several tasks
                 keys, owners = keys[new], owners[new]
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+                if hot:
+                    offsets = pa.array(cuts.astype(np.int32))
+                    yield pa.RecordBatch.from_pydict({"sig": pa.array(keys[cuts[:-1]].view(np.int64)), "size": pa.array([-1] * (len(cuts) - 1), pa.int32()), "members": pa.ListArray.from_arrays(offsets, pa.array(owners))})
+                    continue
                 lists = dict.fromkeys(owners[cuts[i] : cuts[i + 1]].tobytes() for i in np.flatnonzero(np.diff(cuts) > 1))
+                if not lists:
+                    continue
                 items = [(xxhash.xxh3_64_intdigest(x) - (1 << 63), np.frombuffer(x, np.int64)) for x in lists]
                 for at in range(0, len(items), 4096):
                     sigs, members = zip(*items[at : at + 4096], strict=True)
                     offsets = np.cumsum([0, *map(len, members)]).astype(np.int32)
                     yield pa.RecordBatch.from_pydict({"sig": pa.array(sigs, pa.int64()), "size": pa.array(np.diff(offsets), pa.int32()), "members": pa.ListArray.from_arrays(offsets, np.concatenate(members))})
 
-    dealt = sets.where("elements is not null").select("sid", "elements").mapInArrow(deal, "bucket int, keys binary, owners binary, key long, sid long")
-    lists = dealt.where("bucket is not null").select("bucket", "keys", "owners").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, size int, members array<long>")
-    lists = lists.groupBy("sig", "members").agg(F.first("size").alias("size")).select("sig", "size", "members")  # by the members themselves, so no list is lost
-    return lists, dealt.where("key is not null").select("key", "sid") if (counts > huge).any() else None
+    dealt = sets.where("elements is not null").select("sid", "elements").mapInArrow(deal, "bucket int, hot boolean, keys binary, owners binary")
+    lists = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "hot").mapInArrow(gather, "sig long, size int, members array<long>")
+    return lists.groupBy("sig", "members").agg(F.first("size").alias("size")).select("sig", "size", "members")  # by the members themselves, so no list is lost
 
 
 def band_of(n, num: int, den: int):
@@ -334,13 +337,13 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
 
 def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK, huge: int = HUGE) -> DataFrame:
     """node, comp over set keys with at least one link to another set. sets: a stored shingle table of distinct_keys()."""
-    lists, hot = prefix_lists(sets, num, den, huge)
-    lists = kept(lists, "lists", 4 * sets._rows)
+    lists = kept(prefix_lists(sets, num, den, huge), "lists", 4 * sets._rows)
+    hot = lists.where("size = -1").select(F.col("sig").alias("key"), F.explode("members").alias("sid"))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     held = sets.where("elements is not null").select("sid", "n", "bits", place.alias("place"))
     narrow = kept(held.groupBy("sid").agg(F.min("n").alias("n"), F.min_by("bits", "place").alias("bits"), F.min("place").alias("place")), "sets", sets._rows)
-    edges = candidate_edges(lists, narrow, num, den)
-    if hot is not None:
+    edges = candidate_edges(lists.where("size > 0"), narrow, num, den)
+    if hot.limit(1).count():
         edges = edges.unionByName(star_edges(hot, narrow, num, den))
     groups = components(edges)
     sizes = groups.groupBy("comp").count()
@@ -361,26 +364,30 @@ def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num:
     """Links between the blocks of large groups. First one member of every block's components, in bundles of 16 blocks.
     Then, where a group still has several components, the sets outside of its largest one, in blocks of their own, meet
     every block of the group; sets of the largest component need no comparison with each other."""
-    def labelled(links):
+    rows = arrays.select("grp", "part", "sid").join(F.broadcast(large) if large.count() <= 100_000 else large, "grp")
+
+    def labelled(links):  # narrow: the arrays are read again for the sets that are compared
         comp = components(links)
-        return arrays.join(large, "grp").join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-
-    rows = stored(labelled(links), "labelled")
-    some = rows.join(rows.groupBy("grp", "part", "comp").agg(F.min_by("sid", F.xxhash64("sid")).alias("one")), ["grp", "part", "comp"]).where("sid = one").drop("one", "part")
-    some = some.withColumn("part", F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.col("blocks") / 16).cast("int")).cast("int"))
-    links = links.unionByName(exact_edges(some, num, den))
-    drop(rows)
-    rows = stored(labelled(links), "labelled")
-    parts = rows.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"))
-    opened = rows.join(parts.where("others > 0").select("grp", "main", F.ceil(F.col("others") / block).cast("int").alias("guests")), "grp")
-    columns = ["grp", "sid", "n", "elements", "comp"]
-    hosts = opened.select(*columns, F.col("part").alias("host"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"), "guests")
-    outside = opened.where("comp <> main").withColumn("guest", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("guests")).cast("int"))
-    outside = outside.select(*columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("host"), "guest", "guests")
-    tiles = hosts.unionByName(outside).withColumn("part", F.col("host").cast("long") * F.col("guests") + F.col("guest")).drop("host", "guest", "guests")
-    found = links.unionByName(exact_edges(tiles, num, den))
-    drop(rows)
-    return found
+        found = rows.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
+        return stored_by_workers(found.select("grp", "part", "sid", "blocks", F.coalesce("comp", "sid").alias("comp")), iter, "grp long, part int, sid long, blocks int, comp long", "labelled")
+
+    def with_arrays(wanted):
+        wanted = stored_by_workers(wanted, iter, wanted.schema, "wanted")
+        wanted = F.broadcast(wanted) if wanted._rows <= 100_000 else wanted
+        return arrays.select("sid", "n", "elements").join(wanted, "sid")
+
+    labels = labelled(links)
+    one = labels.groupBy("grp", "part", "comp").agg(F.min_by("sid", F.xxhash64("sid")).alias("sid"), F.first("blocks").alias("blocks"))
+    some = one.select("grp", F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.col("blocks") / 16).cast("int")).cast("int").alias("part"), "sid", "comp")
+    links = links.unionByName(exact_edges(with_arrays(some), num, den))
+    labels = labelled(links)
+    parts = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"))
+    opened = labels.join(parts.where("others > 0").select("grp", "main", F.ceil(F.col("others") / block).cast("int").alias("guests")), "grp")
+    tile = (F.col("host").cast("long") * F.col("guests") + F.col("guest")).alias("part")
+    hosts = opened.select("grp", "sid", "comp", F.col("part").alias("host"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"), "guests")
+    outside = opened.where("comp <> main").select("grp", "sid", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("host"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("guests")).cast("int").alias("guest"), "guests")
+    tiles = hosts.unionByName(outside).select("grp", tile, "sid", "comp").distinct()
+    return links.unionByName(exact_edges(with_arrays(tiles), num, den))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 3, den: int = 4, block: int = BLOCK, huge: int = HUGE, key_bytes: int = 8) -> DataFrame:
