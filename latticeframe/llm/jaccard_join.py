@@ -38,6 +38,7 @@ CHUNKS = 64
 LONG_LIST = 1024
 HUGE = 1 << 14
 BLOCK = 256
+TILE = 16  # blocks of a group that is still open make a tile
 #: Bytes of prefix entries that a task takes, where the table asks for more tasks than shuffle partitions.
 TASK_BYTES = 32 << 20
 
@@ -362,8 +363,8 @@ def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK, huge: int
 
 def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num: int, den: int, block: int) -> DataFrame:
     """Links between the blocks of large groups. First one member of every block's components, in bundles of 16 blocks.
-    Then, where a group still has several components, the sets outside of its largest one, in blocks of their own, meet
-    every block of the group; sets of the largest component need no comparison with each other."""
+    Then, where a group still has several components, the sets outside of its largest one meet all of the group, in
+    tiles of TILE blocks; sets of the largest component need no comparison with each other."""
     rows = arrays.select("grp", "part", "sid").join(F.broadcast(large) if large.count() <= 100_000 else large, "grp")
 
     def labelled(links):  # narrow: the arrays are read again for the sets that are compared
@@ -381,11 +382,13 @@ def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num:
     some = one.select("grp", F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.col("blocks") / 16).cast("int")).cast("int").alias("part"), "sid", "comp")
     links = links.unionByName(exact_edges(with_arrays(some), num, den))
     labels = labelled(links)
-    parts = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"))
-    opened = labels.join(parts.where("others > 0").select("grp", "main", F.ceil(F.col("others") / block).cast("int").alias("guests")), "grp")
+    parts = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"), F.sum("size").alias("size"))
+    cut = lambda n: F.ceil(F.col(n) / (TILE * block)).cast("int")
+    opened = labels.join(parts.where("others > 0").select("grp", "main", cut("others").alias("guests"), cut("size").alias("hosts")), "grp")
+    deal = lambda turn, n: F.pmod(F.xxhash64("sid", F.lit(turn)), F.col(n)).cast("int")
     tile = (F.col("host").cast("long") * F.col("guests") + F.col("guest")).alias("part")
-    hosts = opened.select("grp", "sid", "comp", F.col("part").alias("host"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"), "guests")
-    outside = opened.where("comp <> main").select("grp", "sid", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("host"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("guests")).cast("int").alias("guest"), "guests")
+    hosts = opened.select("grp", "sid", "comp", deal(2, "hosts").alias("host"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("guest"), "guests")
+    outside = opened.where("comp <> main").select("grp", "sid", "comp", F.explode(F.sequence(F.lit(0), F.col("hosts") - 1)).alias("host"), deal(1, "guests").alias("guest"), "guests")
     tiles = hosts.unionByName(outside).select("grp", tile, "sid", "comp").distinct()
     return links.unionByName(exact_edges(with_arrays(tiles), num, den))
 
