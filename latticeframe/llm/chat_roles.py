@@ -13,6 +13,8 @@ no block has more than BLOCK rows, however long a conversation is.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -112,6 +114,14 @@ def trace(roles: list[int], begin: int, end: int) -> list[tuple[int, str, tuple[
     return out[::-1]
 
 
+MARKER = re.compile(r"<(\\*)\|im_(start|end)\|>")
+
+
+def escape(text: str) -> str:
+    """A text in which no marker of a turn can be read: one backslash more in each; taking it away gives the text back."""
+    return MARKER.sub(r"<\\\1|im_\2|>", text) if "|im_" in text else text
+
+
 def render(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text}<|im_end|>\n"
 
@@ -153,7 +163,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     The parts of a conversation, in the order of turn, join to its rendered text. edit is keep, relabel or merge; a
     merged turn goes on in the turn before it. Turns with equal numbers follow in the order of role and text; a null
-    turn comes first; a null role is unknown and is relabelled; a null text is empty; rows with a null conversation
+    turn comes first; a null role is unknown and is relabelled; a null text is empty; markers of
+    turns inside a text are escaped; rows with a null conversation
     form one conversation. An empty table gives no rows.
     """
     spark = turns.sparkSession
@@ -191,7 +202,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     def write(batches):
         for batch, bounds in whole_groups(batches, *keys):
-            raw, texts = column(batch, "role").to_pylist(), [t or "" for t in column(batch, "text").to_pylist()]
+            raw, texts = column(batch, "role").to_pylist(), [escape(t or "") for t in column(batch, "text").to_pylist()]
             codes = [role_code(r) for r in raw]
             begin, end, last = numbers(batch, "begin"), numbers(batch, "end"), numbers(batch, "last")
             new, edits, inserted, closing, parts = [], [], [], [], []
