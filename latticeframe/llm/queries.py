@@ -46,7 +46,7 @@ def op6_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_roles.repair(table(spark, sf_dir, "conversations"))
 
 
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 1 << 20
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
