@@ -49,7 +49,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: Column | None = N
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows are told apart by id and text, so of rows that share an id
-    only those go whose own text has a larger id elsewhere; a row with a null id goes if its text has one with an id."""
+    only those go whose own text has a larger id elsewhere; rows with a null id stay."""
     text = F.col("text") if text is None else text
     own = F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
     return without(docs, exact_dedup(docs, id_col, text).where(~F.col("kept")), id_col, native=True, mark="text_sha256", mark_of=own)

@@ -133,12 +133,12 @@ def partitions(spark: SparkSession) -> int:
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", most: int = 500_000, native: bool = False, mark: str = "text_hash", mark_of=None) -> DataFrame:
     """docs less the rows whose id and text are in gone (the id and a column `mark`, a hash of the text; stored first).
 
-    Rows that share an id with another text stay, and so do all copies of a row together. A null id equals a null id.
+    Rows that share an id with another text stay, and all copies of a row go together. Rows with a null id stay.
     gone is broadcast only if it has at most `most` rows. mark_of is the column that docs have as mark, by default the
     xxhash64 of the text.
     """
     named = gone.select(F.col(id_col).alias("__gone_id"), F.col(mark).alias("__gone_mark")).distinct()
     named = stored(named, "gone") if native else stored_by_workers(named, iter, named.schema, "gone")
     mark_of = F.xxhash64(docs["text"].cast("string")) if mark_of is None else mark_of
-    same = docs[id_col].eqNullSafe(F.col("__gone_id")) & (mark_of == F.col("__gone_mark"))
+    same = (docs[id_col] == F.col("__gone_id")) & (mark_of == F.col("__gone_mark"))
     return docs.join(F.broadcast(named) if named.count() <= most else named, same, "left_anti")
