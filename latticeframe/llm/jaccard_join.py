@@ -9,8 +9,9 @@
    bound each overlap from above; what passes is kept as a spanning forest, never as all pairs. A shingle that more than
    HUGE sets hold has no list: its sets join one group for each size band by a star around the least key.
 4. Groups of sets that are still connected get their arrays, read from the stored table by file and row, and exact
-   intersections decide. Pairs already connected are skipped. A group is cut into blocks of at most BLOCK sets; after the
-   blocks and a few members of each have been compared, the sets outside of the group's largest component meet all others.
+   intersections decide. Pairs already connected are skipped. A group is cut into blocks of about BLOCK sets (fewer if
+   they are long); after the blocks and a few members of each have been compared, the sets outside of the group's
+   largest component meet all others.
 
 Sets are told apart by 128 bits of their shingles; where two share the 64-bit key they get other keys. Shingles are
 compared by 48 bits of their hash: a pair of sets of n and m shingles is judged wrong with a probability under
@@ -39,6 +40,8 @@ LONG_LIST = 1024
 HUGE = 1 << 14
 BLOCK = 256
 TILE = 16  # blocks of a group that is still open make a tile
+LOAD = 4096  # a set counts in a block as one for each LOAD shingles, so that blocks are bounded in bytes too
+MOST_BITS = 1 << 17
 #: Bytes of prefix entries that a task takes, where the table asks for more tasks than shuffle partitions.
 TASK_BYTES = 32 << 20
 
@@ -59,9 +62,15 @@ def unpack48(data) -> np.ndarray:
     return out.view(U64).ravel()
 
 
+def signature_bits(n: int, roomy: int = 4096) -> int:
+    """Twice the size of the set up to `roomy` bits, beyond them at least its size: a signature with less than 0.75 bits
+    a shingle is so full that its bound lets unrelated sets pass. Up to MOST_BITS."""
+    return min(MOST_BITS, max(64, min(roomy, 1 << (2 * n - 1).bit_length()), 1 << (n - 1).bit_length()))
+
+
 def bitmap(h: np.ndarray, bits: int = 0) -> np.ndarray:
-    """Signature; by default of 64 to 4096 bits, about twice the size of the set."""
-    bits = bits or min(4096, max(64, 1 << (2 * len(h) - 1).bit_length()))
+    """Signature, by default of signature_bits()."""
+    bits = bits or signature_bits(len(h))
     flags = np.zeros(bits, np.uint8)
     flags[(h & U64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").view(U64)
@@ -317,7 +326,7 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 size, sets = n[lo:hi], [unpack48(raw[i].as_py()) for i in range(lo, hi)]
                 linked = comp[lo:hi].copy()  # the component of each set, as known so far
-                width = min(8192, max(64, 1 << (2 * int(size[-1]) - 1).bit_length()))
+                width = signature_bits(int(size[-1]), 8192)
                 bits = np.stack([bitmap(x, width) for x in sets]) if hi - lo > 2 else None
                 for i in range(hi - lo - 1):
                     last = int(np.searchsorted(size, size[i] * den // num, "right"))
@@ -336,6 +345,11 @@ def exact_edges(rows: DataFrame, num: int, den: int) -> DataFrame:
     return stored_by_workers(rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "n", "sid"), verify, "a long, b long", "links")
 
 
+def load_of(n: str):
+    """How many places a set of n shingles takes in its block."""
+    return F.ceil(F.col(n) / LOAD)
+
+
 def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK, huge: int = HUGE) -> DataFrame:
     """node, comp over set keys with at least one link to another set. sets: a stored shingle table of distinct_keys()."""
     lists = kept(prefix_lists(sets, num, den, huge), "lists", 4 * sets._rows)
@@ -347,9 +361,9 @@ def link_sets(sets: DataFrame, num: int, den: int, block: int = BLOCK, huge: int
     if hot.limit(1).count():
         edges = edges.unionByName(star_edges(hot, narrow, num, den))
     groups = components(edges)
-    sizes = groups.groupBy("comp").count()
-    where = groups.join(sizes, "comp").select(F.col("node").alias("sid"), F.col("comp").alias("grp"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    where = where.join(narrow.select("sid", "place.file", "place.row"), "sid")
+    placed = groups.select(F.col("node").alias("sid"), F.col("comp").alias("grp")).join(narrow.select("sid", "n", "place.file", "place.row"), "sid")
+    placed = kept(placed, "placed", sets._rows)
+    where = placed.join(placed.groupBy("grp").agg(F.ceil(F.sum(load_of("n")) / block).cast("int").alias("blocks")), "grp")
     part = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     arrays = fetch(where.withColumn("part", part))
     links = exact_edges(arrays.withColumn("comp", F.col("sid")), num, den)
@@ -365,12 +379,12 @@ def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num:
     """Links between the blocks of large groups. First one member of every block's components, in bundles of 16 blocks.
     Then, where a group still has several components, the sets outside of its largest one meet all of the group, in
     tiles of TILE blocks; sets of the largest component need no comparison with each other."""
-    rows = arrays.select("grp", "part", "sid").join(F.broadcast(large) if large.count() <= 100_000 else large, "grp")
+    rows = arrays.select("grp", "part", "sid", load_of("n").alias("load")).join(F.broadcast(large) if large.count() <= 100_000 else large, "grp")
 
     def labelled(links):  # narrow: the arrays are read again for the sets that are compared
         comp = components(links)
         found = rows.join(comp.withColumnRenamed("node", "sid"), "sid", "left")
-        return stored_by_workers(found.select("grp", "part", "sid", "blocks", F.coalesce("comp", "sid").alias("comp")), iter, "grp long, part int, sid long, blocks int, comp long", "labelled")
+        return stored_by_workers(found.select("grp", "part", "sid", "load", "blocks", F.coalesce("comp", "sid").alias("comp")), iter, "grp long, part int, sid long, load long, blocks int, comp long", "labelled")
 
     def with_arrays(wanted):
         wanted = stored_by_workers(wanted, iter, wanted.schema, "wanted")
@@ -382,7 +396,7 @@ def _between_blocks(arrays: DataFrame, links: DataFrame, large: DataFrame, num:
     some = one.select("grp", F.pmod(F.xxhash64("comp"), F.greatest(F.lit(1), F.col("blocks") / 16).cast("int")).cast("int").alias("part"), "sid", "comp")
     links = links.unionByName(exact_edges(with_arrays(some), num, den))
     labels = labelled(links)
-    parts = labels.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"), F.sum("size").alias("size"))
+    parts = labels.groupBy("grp", "comp").agg(F.sum("load").alias("size")).groupBy("grp").agg(F.max_by("comp", "size").alias("main"), (F.sum("size") - F.max("size")).alias("others"), F.sum("size").alias("size"))
     cut = lambda n: F.ceil(F.col(n) / (TILE * block)).cast("int")
     opened = labels.join(parts.where("others > 0").select("grp", "main", cut("others").alias("guests"), cut("size").alias("hosts")), "grp")
     deal = lambda turn, n: F.pmod(F.xxhash64("sid", F.lit(turn)), F.col(n)).cast("int")

@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from latticeframe.llm import exact_dedup, jaccard_join
@@ -125,3 +126,29 @@ def test_components(spark):
         up[q] = p
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: root(i) for i in up if i != 5000 and any(i in e and e[0] != e[1] for e in edges)}
+
+
+def test_signatures_of_long_sets_still_reject():
+    """Unrelated sets of one size do not pass the bound of their signatures, however long; equal ones always do."""
+    rng = np.random.default_rng(3)
+    for n in (5, 100, 3_000, 6_000, 20_000, 100_000):
+        a, b = (np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for _ in range(2))
+        x, y = jaccard_join.bitmap(a), jaccard_join.bitmap(b)
+        bound = lambda p, q: (len(a) + len(b) - int(np.bitwise_count(p ^ q).sum())) // 2
+        assert bound(x, y) < jaccard_join.need(len(a), len(b), 3, 4) <= bound(x, x)
+
+
+def test_blocks_are_bounded_by_length(spark, monkeypatch):
+    """Long texts that share a passage, in blocks and tiles of few shingles, link as in one block."""
+    rng = np.random.default_rng(4)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(12):
+        own = [f"w{v}" for v in rng.integers(0, 1 << 40, 400)]
+        rows += [(3 * k, " ".join(shared + own)), (3 * k + 1, " ".join(shared + own[:-20])), (3 * k + 2, " ".join(own[:200] + shared))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert all(whole[3 * k + 1] == 3 * k and whole[3 * k + 2] == 3 * k + 2 for k in range(12))
+    monkeypatch.setattr(jaccard_join, "LOAD", 64)
+    monkeypatch.setattr(jaccard_join, "TILE", 1)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, block=4).collect()} == whole
