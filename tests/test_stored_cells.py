@@ -1,9 +1,10 @@
 """Work goes by stored cells: products of any shapes, dense results, running sums and stretches, against NumPy."""
 
 import numpy as np
+import pytest
 
 import latticeframe as lf
-
+from latticeframe.operators import contract, reduction, tensor
 
 Y = np.random.default_rng(3).integers(-3, 4, (23, 37)) * (np.random.default_rng(4).random((23, 37)) < 0.2) * 1.0
 
@@ -19,3 +20,45 @@ def test_products_of_stored_cells_have_no_bound_on_shapes(spark):
     assert sorted(map(tuple, np.multiply.outer(wide, five).df.collect())) == want
     assert sorted(map(tuple, np.kron(wide, five).df.collect())) == [(i, j * 5 + k, v) for i, j, k, v in want]
     assert "strategy=broadcast" in plan(np.kron(wide, five))
+
+
+def test_dense_shuffles_stored_cells_only(spark):
+    t = lf.array(Y, spark=spark)
+    full = t * 2.0 + 1.0
+    assert "Join" not in plan(full) and full.df.count() == Y.size and np.array_equal(full.to_numpy(), Y * 2 + 1)
+    assert np.array_equal(np.spacing(np.nextafter(t, np.inf)).to_numpy(), np.spacing(np.nextafter(Y, np.inf)))
+    mask = (t >= 2).dense()
+    assert mask.df.count() == Y.size and np.array_equal(mask.to_numpy(), Y >= 2)
+    outside = lf.Tensor(spark.createDataFrame([(0, 1, 2.0), (9, 0, 1.0), (0, 4, 1.0), (None, 1, 1.0)], "d0 long, d1 long, v double"), lf.Meta((2, 3), float))
+    assert sorted(map(tuple, outside.dense().df.collect())) == [(i, j, 2.0 * (i == 0 and j == 1)) for i in range(2) for j in range(3)]
+    full[0, 0] = 7.0
+    assert np.exp(full).to_numpy()[0, 0] == np.exp(7.0)
+    z = Y * (1 + 2j)
+    assert np.allclose(np.exp(lf.array(z, spark=spark)).to_numpy(), np.exp(z))
+
+
+def test_dense_over_several_stretches(spark, monkeypatch):
+    monkeypatch.setattr(tensor, "STRETCH", 5)
+    monkeypatch.setattr(reduction, "STRETCH", 5)
+    for y in (Y, Y.ravel(), np.zeros((3, 4)), np.ones((3, 7)), Y[:, :1]):
+        t = lf.array(y, spark=spark)
+        assert t.dense().df.count() == y.size and np.array_equal(t.dense().to_numpy(), y)
+        assert np.array_equal(np.cumsum(t).to_numpy(), np.cumsum(y)) and np.array_equal(np.cumsum(t, axis=0).to_numpy(), np.cumsum(y, axis=0))
+
+
+def test_running_sums_by_stored_cells(spark):
+    for y in (Y, Y.astype(np.int64), Y > 0, Y * (1 + 2j)):
+        t = lf.array(y, spark=spark)
+        for axis in (None, 0, 1):
+            got = np.cumsum(t, axis=axis)
+            assert got.df.count() == y.size and got.dtype == np.cumsum(y, axis=axis).dtype and np.array_equal(got.to_numpy(), np.cumsum(y, axis=axis))
+    assert "Join" not in plan(np.cumsum(lf.array(Y, spark=spark), axis=1))
+
+
+@pytest.mark.parametrize("ufunc", [np.add, np.multiply, np.maximum, np.minimum])
+@pytest.mark.parametrize("indices", [[0, 3, 8], [2, 30], [5, 1, 1]])
+def test_reduceat_by_stored_cells(spark, ufunc, indices):
+    for axis in (0, 1):
+        got = ufunc.reduceat(lf.array(Y - (Y == 2) * 4, spark=spark), [i % 23 for i in indices], axis=axis)
+        want = ufunc.reduceat(Y - (Y == 2) * 4, [i % 23 for i in indices], axis=axis)
+        assert got.df.count() == want.size and np.array_equal(got.to_numpy(), want)
